@@ -8,9 +8,11 @@ BY_DAY = f"{W} GROUP BY CAST(timestamp AS DATE)"
 UN, WIDE = "is_unanswered", "is_unanswered OR scope_rejected"
 COST = "coalesce(estimated_cost_usd,0)"
 SQL: dict[str, str] = {}
+RAW: dict[str, str] = {}
 
 
 def put(name, text):
+    RAW[name] = text
     SQL[name] = q(text)
 
 
@@ -283,3 +285,58 @@ put("top_products_mentioned", f"""WITH u AS (SELECT unnest(json_extract(sources_
  FROM u GROUP BY 1, 2 ORDER BY mentions DESC, product_name, price LIMIT 10""")
 put("session_detail", "SELECT message_id, timestamp, user_message, assistant_response, sources_used, sources_count"
     " FROM chat_logs WHERE session_id = (SELECT min(session_id) FROM chat_logs)")
+
+# status, trends and display names
+from parley.operators.status import DASHBOARD_RULES, INTENT_NAMES, REPORT_RULES  # noqa: E402
+
+
+def _values(rows) -> str:
+    def v(x):
+        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
+    return ", ".join("(" + ", ".join(v(x) for x in row) + ")" for row in rows)
+
+
+def _status(name: str, rules, pages: list[tuple[str, dict]]) -> None:
+    """One SELECT per KPI over its report, then the rule table."""
+    views, parts = [], []
+    for i, (report, columns) in enumerate(pages):
+        views.append(f"pg{i} AS ({RAW[report]})")
+        parts += [f"SELECT '{kpi}' AS kpi, CAST({col} AS DOUBLE) AS value FROM pg{i}" for kpi, col in columns.items()]
+    put(name, "WITH " + ", ".join(views) + f""", kv AS ({' UNION ALL '.join(parts)}),
+ rl(kpi, direction, amber, red) AS (VALUES {_values(rules)})
+ SELECT kv.kpi, coalesce(value, 0) AS value, CASE WHEN direction = 'above' AND coalesce(value, 0) > red THEN 'red'
+ WHEN direction = 'below' AND coalesce(value, 0) < red THEN 'red' WHEN direction = 'above' AND coalesce(value, 0) > amber THEN 'amber'
+ WHEN direction = 'below' AND coalesce(value, 0) < amber THEN 'amber' ELSE 'green' END AS status
+ FROM kv JOIN rl ON kv.kpi = rl.kpi""")
+
+
+def same(*names):
+    return {n: n for n in names}
+
+
+_status("dashboard_status", DASHBOARD_RULES, [
+    ("devops_summary", same("error_rate_pct", "p95_latency_ms", "unanswered_rate_pct", "scope_rejected_rate_pct")),
+    ("tech_summary", same("avg_rag_confidence", "rag_empty_rate_pct", "avg_unique_brands", "citation_gap_rate_pct",
+                          "rec_gap_rate_pct", "frustration_rate_pct", "avg_turn_number", "cost_per_session_usd")),
+    ("biz_sat_summary", same("avg_stars", "positive_rate_pct")), ("biz_feedback", same("thumbs_up_rate_pct")),
+    ("biz_conversion_mean", {"conversion_rate_pct": "mean_conversion_rate_pct"})])
+_status("report_status", REPORT_RULES, [
+    ("agent_devops_summary", {**same("error_rate_pct", "p95_latency_ms", "unanswered_rate_pct", "avg_ttft_ms"),
+                              "injection_blocks": "total_injection_blocks", "vulgar_blocks": "total_vulgar_blocks"}),
+    ("agent_tech_summary", same("avg_rag_confidence", "rerank_used_pct", "cost_per_session_usd", "frustration_rate_pct",
+                                "citation_gap_rate_pct", "rec_gap_rate_pct")),
+    ("get_tech_context_window_pct", same("p95_context_pct")),
+    ("agent_satisfaction_summary", same("avg_stars", "positive_rate_pct")), ("agent_feedback", same("thumbs_up_rate_pct")),
+    ("get_business_session_outcomes", {"failure_rate_pct": "max(pct) FILTER (WHERE outcome = 'failure')"}),
+    ("biz_conversion_mean", {"conversion_rate_pct": "mean_conversion_rate_pct"})])
+put("distance_trend", f"""WITH w AS (SELECT {WEEK} AS week_start, {a0('min_vec_distance', 4)} AS avg_min_vec_distance
+ FROM chat_logs WHERE {win(56)} GROUP BY {WEEK})
+ SELECT a.*, coalesce(a.avg_min_vec_distance > (SELECT b.avg_min_vec_distance FROM w b WHERE b.week_start < a.week_start
+ ORDER BY b.week_start DESC LIMIT 1), false) AS flagged FROM w a""")
+WEEKD = "CAST(date - CAST(dayofweek(date) AS INTEGER) AS DATE)"
+put("conversion_trend", f"""WITH c AS ({RAW['biz_conversion']}), w AS (SELECT {WEEKD} AS week_start,
+ {r('avg(conversion_rate_pct)', 4)} AS conversion_rate_pct FROM c GROUP BY {WEEKD}),
+ l AS (SELECT *, lag(conversion_rate_pct, 1) OVER o AS x, lag(conversion_rate_pct, 2) OVER o AS y FROM w WINDOW o AS (ORDER BY week_start))
+ SELECT week_start, conversion_rate_pct, coalesce(conversion_rate_pct < x AND x < y, false) AS flagged FROM l""")
+put("intent_display_names", f"""WITH n(intent, label) AS (VALUES {_values(INTENT_NAMES.items())}), i AS ({RAW['tech_intents']})
+ SELECT i.intent, i.count, coalesce(n.label, i.intent) AS label FROM i LEFT JOIN n ON n.intent = i.intent""")

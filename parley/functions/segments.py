@@ -39,10 +39,16 @@ def block_segment(position: str, size: int = 256) -> Column:
     return F.floor(F.col(position) / size)
 
 
-def with_state(df: DataFrame, key: str, order: list[str], segment: Column,
+def with_state(df: DataFrame, key: str, order: list[str], segment: Column | None,
                state: dict[str, object]) -> DataFrame:
-    """``df`` plus one column per entry of ``state``."""
-    src = df.withColumns({f"_v_{n}": s.value for n, s in state.items()}).withColumn("_seg", segment)
+    """``df`` plus one column per entry of ``state``.
+
+    With ``segment=None`` the rows already carry their segment in ``_seg``; a
+    second call on the result of a first then needs no new shuffle.
+    """
+    src = df.withColumns({f"_v_{n}": s.value for n, s in state.items()})
+    if segment is not None:
+        src = src.withColumn("_seg", segment)
     inside = Window.partitionBy(key, "_seg").orderBy(*order)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_seg")

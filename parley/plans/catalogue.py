@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions.segments import block_segment
+from parley.operators import detectors as d
+from parley.operators import enrich, sessions, status
 from parley.plans.registry import ALL, NAMED, VARIANTS
-from parley.sources.bridge import AS_OF, Bridge, bridge
+from parley.sources import inputs
+from parley.sources.bridge import AS_OF, bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPANS = {"days": 30, "hours": 48, "weeks": 8}
@@ -31,5 +35,70 @@ def reports() -> dict[str, Query]:
     return {name: _report(name) for name in (*NAMED, *VARIANTS)}
 
 
+def _first_session(t) -> DataFrame:
+    """Detail of the first session by name (its id is looked up, one row)."""
+    first = t["chat_logs"].select(F.min("session_id")).scalar()
+    return sessions.session_detail(t, session_id=first)
+
+
+def session_queries() -> dict[str, Query]:
+    return {
+        "session_outcomes": bridge(sessions.session_outcomes),
+        "session_outcomes_dedup": bridge(lambda t: sessions.session_outcomes(t, dedup=True)),
+        "session_detail": bridge(_first_session),
+        "dashboard_status": bridge(lambda t: status.dashboard_status(t, as_of=AS_OF)),
+        "report_status": bridge(lambda t: status.report_status(t, as_of=AS_OF)),
+        "distance_trend": bridge(lambda t: status.distance_trend(t, as_of=AS_OF)),
+        "conversion_trend": bridge(lambda t: status.conversion_trend(t, as_of=AS_OF)),
+        "biz_conversion_mean": bridge(lambda t: status.mean_conversion(t, as_of=AS_OF)),
+        "intent_display_names": bridge(lambda t: status.named_intents(t, as_of=AS_OF)),
+    }
+
+
+def _labelled(flag: str, name: str, label) -> Query:
+    return bridge(lambda t: inputs.texts(t).select("text_id", label(F.col("body")).alias(name))
+                  .withColumn(flag, F.col(name).isNotNull()))
+
+
+def _routed(t) -> DataFrame:
+    return enrich.with_route(enrich.with_history(enrich.with_optional(inputs.raw_turns(t))))
+
+
+def _logged(t) -> DataFrame:
+    return enrich.with_quality(_routed(t).where(F.col("route") != enrich.ENDING))
+
+
+def enrichment_queries() -> dict[str, Query]:
+    def body(make, name):
+        return bridge(lambda t: flat(inputs.texts(t).select("text_id", make(F.col("body")).alias(name))))
+
+    return {
+        "wellbeing_flag": body(d.wellbeing, "wellbeing"),
+        "vulgar_flag": _labelled("vulgar_flag", "vulgar_pattern", d.vulgar_label),
+        "injection_flag": _labelled("prompt_injection_flag", "injection_pattern", d.injection_label),
+        "category_detection": body(d.category, "detected_category"),
+        "price_extraction": body(d.price_limit, "price_limit"),
+        "keyword_lists": body(d.keyword_list, "keywords"),
+        "turn_routes": bridge(lambda t: _routed(t).select(
+            "message_id", "route", F.col("_injection").alias("injection_pattern"),
+            F.col("_vulgar").alias("vulgar_pattern"), F.col("_wellbeing").alias("wellbeing"),
+            F.col("_ending").alias("session_ending"))),
+        "session_ending_flag": bridge(lambda t: _routed(t).select(
+            "message_id", F.col("_ending").alias("session_ending"))),
+        "answer_quality": bridge(lambda t: _logged(t).select(
+            "message_id", "sources_count", "is_unanswered", "scope_rejected", "hallucination_flag",
+            d.rec_gap(F.col("user_intent_target"), F.col("_final"), F.col("is_unanswered")).alias("rec_gap"),
+            "intent", "user_intent_target")),
+        "frustration_flag": bridge(lambda t: enrich.with_frustration(_logged(t)).select(
+            "message_id", "frustration_signal", "frustration_reason")),
+        "tokens_and_cost": bridge(lambda t: enrich.enrich_turns(inputs.raw_turns(t)).select(
+            "message_id", "tokens_in", "tokens_out", "estimated_cost_usd", "context_pct")),
+        "enrich_turns": bridge(lambda t: enrich.enrich_turns(inputs.raw_turns(t))),
+        "conversation_turns": bridge(lambda t: enrich.turn_numbers(
+            t["conversations"], "conv_id", "turn", block_segment("turn")).select(
+            "conv_id", "turn", "text", "turn_number")),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**reports()}
+    return {**reports(), **session_queries(), **enrichment_queries()}
