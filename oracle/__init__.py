@@ -2,5 +2,5 @@
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import enrichment, reports
-    return {**reports.SQL, **enrichment.SQL}
+    from oracle import enrichment, others, reports
+    return {**reports.SQL, **enrichment.SQL, **others.SQL}

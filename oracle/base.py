@@ -45,8 +45,9 @@ def q(text: str) -> str:
     if not ctes:
         return text
     text = text.strip()
-    if text.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(ctes) + ",\n" + text[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(head):
+            return head + ",\n".join(ctes) + ",\n" + text[len(head):]
     return "WITH " + ",\n".join(ctes) + "\n" + text
 
 

@@ -129,7 +129,15 @@ def enrich_turns(turns: DataFrame, *, replies: dict[str, str] | None = None,
     any of the optional measurements and classifier outputs.
     """
     routed = with_replies(with_route(with_history(with_optional(turns))), replies)
-    logged = with_frustration(with_quality(routed.where(F.col("route") != ENDING)))
+    return shape_logs(with_frustration(with_quality(routed.where(F.col("route") != ENDING))), prices)
+
+
+# Measurements that only an answered turn has.
+ONLY_ANSWERED = [c for c in OPTIONAL if c != "latency_ms" and c in schemas.CHAT_LOGS.fieldNames()]
+
+
+def shape_logs(logged: DataFrame, prices: dict[str, float] | None = None) -> DataFrame:
+    """The chat_logs columns of logged turns: each route fills its own fields."""
     route = F.col("route")
     answered, timed = route == ANSWER, route.isin(ANSWER, WELLBEING)
     cost = rounded(d.call_cost(F.col("tokens_in"), F.col("tokens_out"), prices), 8)
@@ -150,9 +158,6 @@ def enrich_turns(turns: DataFrame, *, replies: dict[str, str] | None = None,
         "context_pct": F.when(answered, d.context_pct(F.col("tokens_in"))),
         "rec_gap": d.rec_gap(F.col("user_intent_target"), F.col("_final"), F.col("is_unanswered")),
     }
-    only_answered = ["embed_ms", "db_ms", "rag_ms", "llm_ms", "ttft_ms", "embed_model", "llm_error_type",
-                     "rag_confidence", "min_vec_distance", "ann_candidates_count", "rag_empty", "dedup_removed_count",
-                     "unique_brands_count", "unique_categories_count", "rerank_used", "session_started_at"]
-    made |= {c: F.when(answered, F.col(c)) for c in only_answered}
+    made |= {c: F.when(answered, F.col(c)) for c in ONLY_ANSWERED}
     return logged.select(*[made.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
                            for f in schemas.CHAT_LOGS.fields])

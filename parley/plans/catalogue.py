@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 
 from parley.functions.segments import block_segment
 from parley.operators import detectors as d
-from parley.operators import enrich, sessions, status
+from parley.operators import catalog, documents, enrich, orders, retrieve, sessions, status
 from parley.plans.registry import ALL, NAMED, VARIANTS
-from parley.sources import inputs
+from parley.sources import inputs, tables
 from parley.sources.bridge import AS_OF, bridge
+from parley.streaming import alerts, ratelimit, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPANS = {"days": 30, "hours": 48, "weeks": 8}
@@ -100,5 +101,217 @@ def enrichment_queries() -> dict[str, Query]:
     }
 
 
+def _meta(df: DataFrame) -> DataFrame:
+    """Document rows with the metadata fields as columns."""
+    return df.select("doc_type", "source_id", "content", "metadata.*")
+
+
+def _found(t, k: int = retrieve.CANDIDATES_WITHOUT_RANKER) -> DataFrame:
+    return retrieve.candidates(retrieve.prepare_queries(inputs.search_queries(t)), inputs.knowledge_base(t), k=k)
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    rounded = {c: F.round(c, 6) for c in ("vec_dist", "keyword_bonus", "hybrid_score") if c in df.columns}
+    return df.withColumns(rounded)
+
+
+def _retrieval(t, scored: bool) -> retrieve.Retrieval:
+    queries_, kb = inputs.search_queries(t), inputs.knowledge_base(t)
+    scores = inputs.ranker_scores(t, _found(t, retrieve.CANDIDATES)) if scored else None
+    return retrieve.retrieve(queries_, kb, scores=scores)
+
+
+def _context_lines(t) -> DataFrame:
+    made = _retrieval(t, False).contexts
+    return made.select("query_id", "context", F.to_json("sources").alias("sources"))
+
+
+def _loaded(t) -> DataFrame:
+    existing = t["product_reviews"].where("verified = false")
+    return documents.load_reviews(existing, inputs.raw_reviews(t), t["products"], *inputs.REVIEW_ORDER)
+
+
+def _upserted(t) -> DataFrame:
+    now = F.expr("timestamp_ntz '2024-01-31 00:00:00'")
+    return documents.upsert_documents(inputs.stored_documents(t), inputs.incoming_documents(t), "version", now=now)
+
+
+def _new_products(t) -> DataFrame:
+    """Parts that are sold, against the parts stored as pending products."""
+    docs = documents.product_documents(t["products"])
+    sold = t["lineitem"].where("l_quantity > 49").select(
+        F.lit("product").alias("doc_type"), F.col("l_partkey").cast("string").alias("source_id"))
+    return documents.not_yet_ingested(docs, sold.distinct()).select("doc_type", "source_id")
+
+
+def knowledge_queries() -> dict[str, Query]:
+    return {
+        "product_documents": bridge(lambda t: _meta(documents.product_documents(t["products"]))),
+        "faq_documents": bridge(lambda t: documents.faq_documents(inputs.faqs(t)).select(
+            "source_id", "content", F.col("metadata.category").alias("category"))),
+        "review_summaries": bridge(lambda t: _meta(documents.review_summaries(
+            t["products"], inputs.raw_reviews(t), *inputs.REVIEW_ORDER, "body"))),
+        "upsert_documents": bridge(_upserted),
+        "not_yet_ingested": bridge(_new_products),
+        "load_reviews": bridge(_loaded),
+        "metadata_filter": bridge(lambda t: retrieve.metadata_filter(
+            inputs.knowledge_base(t), "garden", 905.0).select("doc_type", "source_id")),
+        "query_analysis": bridge(lambda t: flat(retrieve.prepare_queries(inputs.search_queries(t)).drop("embedding", "query_text"))),
+        "hybrid_candidates": bridge(lambda t: _plain(_found(t)).drop("name", "price", "category", "brand")),
+        "reranked": bridge(lambda t: retrieve.rank(
+            _found(t, retrieve.CANDIDATES), inputs.ranker_scores(t, _found(t, retrieve.CANDIDATES))).select(
+            "query_id", "doc_type", "source_id", "rank", "rerank_used")),
+        "retrieval_results": bridge(lambda t: _plain(_retrieval(t, False).results).select(
+            "query_id", "doc_type", "source_id", "rank", "vec_dist", "keyword_bonus", "dedup_removed_count")),
+        "retrieval_stats": bridge(lambda t: _retrieval(t, False).stats),
+        "retrieval_stats_reranked": bridge(lambda t: _retrieval(t, True).stats),
+        "retrieval_contexts": bridge(_context_lines),
+    }
+
+
+def _page_of_reviews(sort: str) -> Query:
+    return bridge(lambda t: catalog.reviews_page(t["product_reviews"], sort=sort, limit=3, offset=2))
+
+
+def _changed(t) -> DataFrame:
+    return catalog.apply_changes(t["products"].select("id", "sku", "price"), inputs.change_feed(t),
+                                 *inputs.REVIEW_ORDER)
+
+
+def _bulk_load(t) -> DataFrame:
+    incoming = inputs.raw_reviews(t).select("sku", F.col("author").alias("name"), *inputs.REVIEW_ORDER, "body")
+    existing = t["products"].where("is_featured").select("sku")
+    return catalog.load_new_products(existing, incoming, *inputs.REVIEW_ORDER, "body").select("sku", "name", "body")
+
+
+def _with_images(t) -> DataFrame:
+    stored = t["products"].withColumn("image_url", F.when(F.col("is_featured"), F.lit("old"))).select("sku", "image_url")
+    images = inputs.raw_reviews(t).select("sku", F.concat(F.lit("img/"), "author").alias("image_url"))
+    return catalog.fill_images(stored, images)
+
+
+def _orders_by_id(t) -> DataFrame:
+    """Sold part numbers, some of which are not products."""
+    return t["lineitem"].select((F.col("l_partkey") * 2).alias("id"))
+
+
+def _parsed_items(t) -> DataFrame:
+    parsed = orders.parse_items(inputs.item_lists(t))
+    priced = orders.price_order_lists(parsed)
+    return orders.serialise_items(priced).drop("tax", "shipping")
+
+
+def _registered(t) -> DataFrame:
+    stored, incoming = inputs.registrations(t)
+    return orders.register_users(stored, incoming, "c_custkey")
+
+
+def commerce_queries() -> dict[str, Query]:
+    def search(t):
+        return catalog.product_search(t["products"], category="o", search="ing", min_price=900.5, max_price=1500.0)
+
+    return {
+        "product_search": bridge(search),
+        "product_page": bridge(lambda t: catalog.page(search(t), limit=20, offset=5)),
+        "product_page_info": bridge(lambda t: catalog.page_info(search(t), limit=20, offset=5)),
+        "products_by_id": bridge(lambda t: catalog.products_by_id(t["products"], _orders_by_id(t)).select("id", "sku")),
+        "missing_product_ids": bridge(lambda t: catalog.missing_ids(t["products"], _orders_by_id(t))),
+        "apply_product_changes": bridge(_changed),
+        "product_bulk_load": bridge(_bulk_load),
+        "product_image_fill": bridge(_with_images),
+        "featured_products": bridge(lambda t: catalog.featured_products(t["products"])),
+        "discounts": bridge(lambda t: catalog.with_discount(t["products"]).select("sku", "discount_pct")),
+        "reviews_recent": _page_of_reviews("recent"),
+        "reviews_highest": _page_of_reviews("highest"),
+        "reviews_lowest": _page_of_reviews("lowest"),
+        "star_distribution": bridge(lambda t: catalog.star_distribution(t["product_reviews"])),
+        "rating_summary": bridge(lambda t: catalog.rating_summary(catalog.star_distribution(t["product_reviews"]))),
+        "order_pricing": bridge(lambda t: orders.order_pricing(t["order_items"])),
+        "order_item_lists": bridge(_parsed_items),
+        "newest_orders": bridge(lambda t: orders.newest_orders(inputs.stored_orders(t), 5)),
+        "order_status_updates": bridge(lambda t: orders.apply_statuses(
+            inputs.stored_orders(t), inputs.status_updates(t), "l_shipdate", "l_linenumber")),
+        "rejected_status_updates": bridge(lambda t: orders.rejected_statuses(inputs.status_updates(t))),
+        "cart_contents": bridge(lambda t: orders.merge_carts(inputs.cart_log(t))),
+        "cart_totals": bridge(lambda t: orders.cart_totals(orders.merge_carts(inputs.cart_log(t)))),
+        "user_registration": bridge(_registered),
+    }
+
+
+def _votes(t) -> tables.Checked:
+    votes = t["chat_logs"].select("message_id", "session_id", "timestamp", "user_message",
+                                  (F.col("embed_ms") % 4 - 1).alias("rating"))
+    return tables.feedback_rows(votes, t["chat_logs"])
+
+
+def _reviews(t) -> tables.Checked:
+    rows = t["session_reviews"].withColumn("stars", F.col("stars") + F.col("turn_count") % 3 - 1)
+    return tables.review_rows(rows)
+
+
+def source_queries() -> dict[str, Query]:
+    return {
+        "feedback_rows": bridge(lambda t: _votes(t).accepted),
+        "feedback_rejected": bridge(lambda t: _votes(t).rejected.select("message_id", "rating")),
+        "event_rows": bridge(lambda t: tables.event_rows(t["chat_events"]).accepted),
+        "review_rows": bridge(lambda t: _reviews(t).accepted),
+        "review_rejected": bridge(lambda t: _reviews(t).rejected.select("session_id", "stars")),
+        "chat_log_rows": bridge(lambda t: tables.chat_log_rows(t["chat_logs"]).accepted.select(
+            "session_id", "message_id", "timestamp", "sources_count", "turn_number")),
+    }
+
+
+def _spikes(flag: str, policy: str, threshold: float) -> Query:
+    def run(t):
+        expr = {"injection": F.col("prompt_injection_flag"), "rerank": ~F.col("rerank_used")}[flag]
+        return alerts.spikes(inputs.flag_metrics(t, expr), alerts.POLICIES[policy], threshold=threshold)
+    return bridge(run)
+
+
+def _limited(t) -> DataFrame:
+    return ratelimit.rate_limit(inputs.requests(t), max_requests=5, window_seconds=7200)
+
+
+def _flood(t) -> DataFrame:
+    limited = _limited(t)
+    hits = limited.select("timestamp", F.col("session_id").alias("series"), (~F.col("allowed")).cast("int").alias("value"))
+    return alerts.spikes(hits, alerts.POLICIES["request_flood"], threshold=0)
+
+
+def _sustained(metrics, policy: str, seconds: int, threshold: float, duration: int):
+    p = alerts.POLICIES[policy]
+    aligned = alerts.align(metrics, seconds, p.aligner)
+    return alerts.sustained(aligned, p, threshold=threshold, step=seconds, duration=duration)
+
+
+def monitoring_queries() -> dict[str, Query]:
+    hour = 3600
+    return {
+        "rate_limit": bridge(_limited),
+        "injection_spikes": _spikes("injection", "injection_spike", 0),
+        "rerank_error_spikes": _spikes("rerank", "rerank_errors", 1),
+        "request_floods": bridge(_flood),
+        "server_error_alerts": bridge(lambda t: _sustained(inputs.error_metrics(t), "server_errors", hour, 0.0005, 2 * hour)),
+        "latency_alerts": bridge(lambda t: _sustained(
+            inputs.latency_metrics(t).withColumn("series", F.lit("chat")), "latency", hour, 10000, 3 * hour)),
+        "gauge_alerts": bridge(lambda t: _sustained(
+            inputs.latency_metrics(t).withColumn("series", F.lit("chat")), "database_cpu", hour, 5000, 2 * hour)),
+        "uptime_alerts": bridge(lambda t: _sustained(inputs.error_metrics(t), "uptime", hour, 6, 2 * hour)),
+        "latency_incidents": bridge(lambda t: alerts.incidents(_sustained(
+            inputs.latency_metrics(t).withColumn("series", F.lit("chat")), "latency", hour, 10000, hour), 2 * hour)),
+        "chart_request_rate": bridge(lambda t: alerts.chart(
+            inputs.latency_metrics(t).withColumn("value", F.lit(1)), "request_rate", seconds=hour, by="response_class")),
+        "chart_latency_p95": bridge(lambda t: alerts.chart(inputs.latency_metrics(t), "latency_p95", seconds=hour)),
+        "chart_instances": bridge(lambda t: alerts.chart(inputs.latency_metrics(t), "instances", seconds=hour)),
+        "chart_database_cpu": bridge(lambda t: alerts.chart(inputs.latency_metrics(t), "database_cpu", seconds=hour)
+                                     .withColumn("value", F.round("value", 4))),
+        "rolling_summary": bridge(lambda t: alerts.rolling_summary(t["chat_logs"])),
+        "rolling_errors": bridge(lambda t: alerts.rolling_errors(t["chat_logs"])),
+        "rolling_categories": bridge(lambda t: alerts.rolling_categories(t["chat_logs"])),
+        "rollup_period": bridge(lambda t: rollups.period_from_rollup(rollups.daily_rollup(t["chat_logs"]))),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**reports(), **session_queries(), **enrichment_queries()}
+    return {**reports(), **session_queries(), **enrichment_queries(), **knowledge_queries(), **commerce_queries(),
+            **source_queries(), **monitoring_queries()}

@@ -101,6 +101,6 @@ from {customer}
 
 VIEWS["kb"] = (['embeddings', 'documents', 'products'], r"""
 select CASE WHEN e.vec_id%5<3 THEN 'product' WHEN e.vec_id%5=3 THEN 'faq' ELSE 'review_summary' END AS doc_type,
-  concat('d',CAST(e.vec_id AS VARCHAR(20))) AS source_id, d.text AS content, p.name, p.category, p.brand, p.price, e.vec_id
+  concat('d',CAST(e.vec_id AS VARCHAR(20))) AS source_id, d.text AS content, p.name, p.category, p.brand, p.price, e.vec_id, e.embedding
 from {embeddings} e left join {documents} d on d.doc_id=e.vec_id left join {products} p on p.id=e.vec_id%100
 """)
