@@ -136,3 +136,31 @@ PRICES = {"in": 0.30, "out": 2.50, "intent_in": 0.30, "intent_out": 2.50}
 CONTEXT_TOKENS = 1_000_000
 CHARS_PER_TOKEN = 4
 PROMPT_TOKENS = 512
+
+# Our own: for the patterns that are costly to search for, texts one of which
+# is part of every match. A row without any of them skips the pattern.
+NEEDLES = {
+    r"\b(porn|pornography|xxx|onlyfans)\b": ["porn", "xxx", "onlyfans"],
+    r"\b(naked|nude|nudity|nudes)\b": ["naked", "nud"],
+    r"\b(sex|sexual|sexually|intercourse|foreplay)\b": ["sex", "intercourse", "foreplay"],
+    r"\b(masturbat\w+|orgasm|ejaculat\w+)\b": ["masturbat", "orgasm", "ejaculat"],
+    r"\b(erotic|erotica|fetish|bdsm|kink\w*)\b": ["erotic", "fetish", "bdsm", "kink"],
+    r"\b(fuck|fucking|fucked|fucker|fucks)\b": ["fuck"],
+    r"\bc[u\*]nt\b": ["cunt", "c*nt"],
+    r"\bcock\b(?!\s*(pit|roach|tail|erel|atoo))": ["cock"],
+    r"\bdick\b(?!\s*(ens|inson|son))": ["dick"],
+    r"\bpussy\b(?!\s*(cat|willow|foot))": ["pussy"],
+    r"\bash+ole\b": ["ash"],
+    r"\bwhor[e\x08]": ["whor"],
+    r"\bslut\b": ["slut"],
+    r"\b(have sex|sleep with|hook up) with you\b": ["with you"],
+    r"\bshow me your (body|breasts?|genitals?)\b": ["show me your"],
+    r"\bsend (me )?(nudes?|naked|sexy) (pics?|photos?|pictures?)": ["send "],
+    r"\b(never mind|nevermind|forget it|forget that)\b": ["never mind", "nevermind", "forget "],
+    r"\bnot (what i|what I) (needed|wanted|asked|meant|was looking for)\b": ["not what i "],
+    r"\bthat'?s? (not (right|helpful|correct|what i|it)|wrong)\b": ["that"],
+    r"\b(useless|not helpful|unhelpful|doesn'?t help)\b": ["useless", "help"],
+    r"\bjust (search|look|find) (it |myself|on my own)": ["just "],
+    r"\bno[,.]?\s+(not that|that'?s? not)\b": ["that"],
+    r"\b(wrong product|wrong item|not the right)\b": ["wrong ", "not the right"],
+}

@@ -1,17 +1,20 @@
-"""Ordered per-key state without gathering a key in one task.
+"""Ordered per-key state without gathering a large key in one task.
 
-A window over a whole session puts every row of a hot session in one task.
-Here the rows of a key are cut into segments; windows run inside a segment,
-and a small per-segment summary carries the state from one segment to the
-next. Only the summaries of a key meet in one place.
+Keys of ordinary size use plain windows: one shuffle, and a second call on the
+same key needs none. A window over a very large key would put all of its rows
+in one task, so keys above a row limit are found first. Their rows are cut
+into segments; windows run inside a segment, and a small per-segment summary
+carries the state from one segment to the next.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+MOST_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class Previous:
@@ -31,6 +34,9 @@ class TotalBefore:
     value: Column
 
 
+State = Previous | LastKnown | TotalBefore
+
+
 def hour_segment(ts: str = "timestamp") -> Column:
     return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
 
@@ -39,43 +45,63 @@ def block_segment(position: str, size: int = 256) -> Column:
     return F.floor(F.col(position) / size)
 
 
-def with_state(df: DataFrame, key: str, order: list[str], segment: Column | None,
-               state: dict[str, object]) -> DataFrame:
-    """``df`` plus one column per entry of ``state``.
+def busy_keys(df: DataFrame, key: str, most: int = MOST_ROWS) -> list:
+    """Keys with more than ``most`` rows. Runs a job that reads the key column
+    only; there are at most rows / ``most`` such keys."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in counts.where(F.col("_n") > most).select(key).collect()]
+
+
+def _local(s: State, value: Column, window: WindowSpec) -> Column:
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    if isinstance(s, Previous):
+        return F.lag(value, 1).over(window)
+    if isinstance(s, LastKnown):
+        return F.last(value, ignorenulls=True).over(earlier)
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0))
+
+
+def with_state(df: DataFrame, key: str, order: list[str], segment: Column, state: dict[str, State],
+               busy: list | None = None) -> DataFrame:
+    """``df`` plus one column per entry of ``state``. ``busy`` is the result of
+    ``busy_keys``; it is looked up when not given."""
+    busy = busy_keys(df, key) if busy is None else busy
+    if not busy:
+        return _plain(df, key, order, state)
+    field = df.schema[key]
+    listed = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in busy], f"{key} {field.dataType.simpleString()}"))
+    rest = _plain(df.join(listed, key, "left_anti"), key, order, state)
+    return rest.unionByName(_segmented(df.join(listed, key, "left_semi"), key, order, segment, state))
+
+
+def _plain(df: DataFrame, key: str, order: list[str], state: dict[str, State]) -> DataFrame:
+    window = Window.partitionBy(key).orderBy(*order)
+    return df.withColumns({n: _local(s, s.value, window) for n, s in state.items()})
+
 
-    With ``segment=None`` the rows already carry their segment in ``_seg``; a
-    second call on the result of a first then needs no new shuffle.
-    """
-    src = df.withColumns({f"_v_{n}": s.value for n, s in state.items()})
-    if segment is not None:
-        src = src.withColumn("_seg", segment)
+def _segmented(df: DataFrame, key: str, order: list[str], segment: Column, state: dict[str, State]) -> DataFrame:
+    src = df.withColumns({f"_v_{n}": s.value for n, s in state.items()}).withColumn("_seg", segment)
     inside = Window.partitionBy(key, "_seg").orderBy(*order)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_seg")
     before_all = before.rowsBetween(Window.unboundedPreceding, -1)
 
-    local, tails, carries, finals = {}, [], [], {}
-    local["_rn"] = F.row_number().over(inside)
+    local, tails, carries, finals = {"_rn": F.row_number().over(inside)}, [], [], {}
+    at = F.struct(*order)
     for n, s in state.items():
-        v = F.col(f"_v_{n}")
-        at = F.struct(*order)
+        v, here, carry = F.col(f"_v_{n}"), F.col(f"_l_{n}"), F.col(f"_c_{n}")
+        local[f"_l_{n}"] = _local(s, v, inside)
         if isinstance(s, Previous):
-            local[f"_l_{n}"] = F.lag(v, 1).over(inside)
-            tails.append(F.max_by(v, at).alias(f"_t_{n}"))
-            carries.append(F.lag(f"_t_{n}", 1).over(before).alias(f"_c_{n}"))
-            finals[n] = F.when(F.col("_rn") == 1, F.col(f"_c_{n}")).otherwise(F.col(f"_l_{n}"))
+            tail, carried_over = F.max_by(v, at), F.lag(f"_t_{n}", 1).over(before)
+            finals[n] = F.when(F.col("_rn") == 1, carry).otherwise(here)
         elif isinstance(s, LastKnown):
-            local[f"_l_{n}"] = F.last(v, ignorenulls=True).over(earlier)
-            tails.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_t_{n}"))
-            carries.append(F.last(f"_t_{n}", ignorenulls=True).over(before_all).alias(f"_c_{n}"))
-            finals[n] = F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))
+            tail, carried_over = F.max_by(v, F.when(v.isNotNull(), at)), F.last(f"_t_{n}", ignorenulls=True).over(before_all)
+            finals[n] = F.coalesce(here, carry)
         else:
-            local[f"_l_{n}"] = F.coalesce(F.sum(v).over(earlier), F.lit(0))
-            tails.append(F.sum(v).alias(f"_t_{n}"))
-            carries.append(F.sum(f"_t_{n}").over(before_all).alias(f"_c_{n}"))
-            finals[n] = F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
+            tail, carried_over = F.sum(v), F.sum(f"_t_{n}").over(before_all)
+            finals[n] = here + F.coalesce(carry, F.lit(0))
+        tails.append(tail.alias(f"_t_{n}"))
+        carries.append(carried_over.alias(f"_c_{n}"))
 
-    carried = (src.groupBy(key, "_seg").agg(*tails)
-                  .select(key, "_seg", *carries))
+    carried = src.groupBy(key, "_seg").agg(*tails).select(key, "_seg", *carries)
     joined = src.withColumns(local).join(carried, [key, "_seg"], "left")
     return joined.select(*df.columns, *[c.alias(n) for n, c in finals.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.functions.kernels import rounded
-from parley.functions.segments import LastKnown, Previous, TotalBefore, hour_segment, with_state
+from parley.functions.segments import LastKnown, Previous, TotalBefore, busy_keys, hour_segment, with_state
 from parley.operators import detectors as d
 
 # Routes in guard order.
@@ -33,7 +33,7 @@ def parse_sources(column: str = "retrieved_sources") -> Column:
     return F.from_json(F.col(column), schemas.SOURCES)
 
 
-def with_history(turns: DataFrame) -> DataFrame:
+def with_history(turns: DataFrame, busy: list | None = None) -> DataFrame:
     """Adds ``last_reply``, ``turn_number`` and ``history_chars``.
 
     Requests that carry their history are read row by row; otherwise the state
@@ -45,11 +45,11 @@ def with_history(turns: DataFrame) -> DataFrame:
         return turns.withColumns({
             "last_reply": d.last_reply(F.col("history")),
             "turn_number": (F.greatest(replies, F.lit(0)) + 1).cast("bigint"),
-            "history_chars": F.coalesce(chars, F.lit(0)).cast("bigint"), "_seg": hour_segment()})
+            "history_chars": F.coalesce(chars, F.lit(0)).cast("bigint")})
     size = F.length("user_message") + F.length("assistant_response")
-    out = with_state(turns.withColumn("_seg", hour_segment()), "session_id", ["timestamp", "message_id"], None, {
+    out = with_state(turns, "session_id", ["timestamp", "message_id"], hour_segment(), {
         "last_reply": LastKnown(F.col("assistant_response")), "_turns": TotalBefore(F.lit(1)),
-        "history_chars": TotalBefore(size)})
+        "history_chars": TotalBefore(size)}, busy)
     return out.withColumn("turn_number", (F.col("_turns") + 1).cast("bigint")).drop("_turns")
 
 
@@ -64,10 +64,11 @@ def turn_numbers(messages: DataFrame, key: str, position: str, segment: Column)
 
 def with_route(turns: DataFrame) -> DataFrame:
     """Adds the guard results and the route of each turn."""
-    message = F.col("user_message")
-    out = turns.withColumns({
-        "_injection": d.injection_label(message), "_vulgar": d.vulgar_label(message),
-        "_wellbeing": d.wellbeing(message), "_ending": d.session_ending(message, F.col("last_reply"))})
+    low, reply = F.col("_low"), F.col("_low_reply")
+    lowered = turns.withColumns({"_low": F.lower("user_message"), "_low_reply": F.lower("last_reply")})
+    out = lowered.withColumns({
+        "_injection": d.injection_label(low, F.length("user_message")), "_vulgar": d.vulgar_label(low),
+        "_wellbeing": d.wellbeing(low), "_ending": d.session_ending(low, reply)}).drop("_low", "_low_reply")
     route = (F.when(F.col("_injection").isNotNull(), INJECTION).when(F.col("_vulgar").isNotNull(), VULGAR)
               .when(F.col("_wellbeing"), WELLBEING).when(F.col("_ending"), ENDING).otherwise(ANSWER))
     return out.withColumn("route", route)
@@ -85,11 +86,12 @@ def with_replies(turns: DataFrame, replies: dict[str, str] | None) -> DataFrame:
 def with_quality(turns: DataFrame) -> DataFrame:
     """Adds the fields that follow from a single answered turn."""
     answered, response = F.col("route") == ANSWER, F.col("assistant_response")
-    raw = F.col("retrieved_sources")
+    raw, low = F.col("retrieved_sources"), F.col("_low_response")
     none = F.array().cast(schemas.SOURCES)
-    final = F.when(answered, F.coalesce(d.mentioned(raw, response), none)).otherwise(none)
-    out = turns.withColumn("_final", final).withColumn("sources_count", F.size("_final").cast("bigint"))
-    unanswered = answered & d.is_unanswered(response, F.col("sources_count"))
+    lowered = turns.withColumns({"_low_response": F.lower(response), "_low_query": F.lower("search_query")})
+    final = F.when(answered, F.coalesce(d.mentioned(raw, low), none)).otherwise(none)
+    out = lowered.withColumn("_final", final).withColumn("sources_count", F.size("_final").cast("bigint"))
+    unanswered = answered & d.is_unanswered(low, F.col("sources_count"))
     out = out.withColumn("is_unanswered", F.coalesce(unanswered, F.lit(False)))
     searched = answered & raw.isNotNull()
     t_in = d.tokens_in(F.col("user_message"), F.col("history_chars"), d.printed_chars(raw))
@@ -97,26 +99,28 @@ def with_quality(turns: DataFrame) -> DataFrame:
         "sources_used": F.to_json("_final"),
         "message_length": F.length("user_message").cast("bigint"),
         "response_length": F.length(response).cast("bigint"),
-        "scope_rejected": F.when(answered, d.scope_rejected(response)),
-        "hallucination_flag": F.when(answered, d.citation_gap(raw, response)),
-        "detected_category": F.when(searched, d.category(F.col("search_query"))),
-        "price_filter_value": F.when(searched, d.price_limit(F.col("search_query"))),
+        "scope_rejected": F.when(answered, d.scope_rejected(low)),
+        "hallucination_flag": F.when(answered, d.citation_gap(raw, low)),
+        "detected_category": F.when(searched, d.category(F.col("_low_query"))),
+        "price_filter_value": F.when(searched, d.price_limit(F.col("_low_query"))),
         "tokens_in": F.when(answered, t_in), "tokens_out": F.when(answered, d.tokens_out(response)),
         "user_intent_target": d.intent_target(F.col("target_text")),
         "intent": d.intent_label(F.coalesce(F.col("intent_text"), F.lit(""))),
-    })
+    }).drop("_low_response", "_low_query")
 
 
-def with_frustration(turns: DataFrame) -> DataFrame:
+def with_frustration(turns: DataFrame, busy: list | None = None) -> DataFrame:
     """Adds frustration signal and reason. Blocked turns never reach the answer
     buffer, so the previous "unanswered" skips them; the previous message does
     not. Expects logged turns only."""
     reached = ~F.col("route").isin(INJECTION, VULGAR)
-    out = with_state(turns, "session_id", ["timestamp", "message_id"], None, {
+    out = with_state(turns, "session_id", ["timestamp", "message_id"], hour_segment(), {
         "_previous": Previous(F.col("user_message")),
-        "_previous_unanswered": LastKnown(F.when(reached, F.col("is_unanswered")))})
-    reason = d.frustration_reason(F.col("user_message"), F.col("_previous"), F.col("_previous_unanswered"))
-    out = out.withColumn("frustration_reason", reason).drop("_previous", "_previous_unanswered")
+        "_previous_unanswered": LastKnown(F.when(reached, F.col("is_unanswered")))}, busy)
+    lowered = out.withColumns({"_low": F.lower("user_message"), "_low_previous": F.lower("_previous")})
+    reason = d.frustration_reason(F.col("_low"), F.col("_low_previous"), F.col("_previous_unanswered"))
+    out = lowered.withColumn("frustration_reason", reason).drop(
+        "_low", "_low_previous", "_previous", "_previous_unanswered")
     return out.withColumn("frustration_signal", F.col("frustration_reason").isNotNull())
 
 
@@ -128,8 +132,9 @@ def enrich_turns(turns: DataFrame, *, replies: dict[str, str] | None = None,
     assistant_response and retrieved_sources (NULL: nothing was searched), and
     any of the optional measurements and classifier outputs.
     """
-    routed = with_replies(with_route(with_history(with_optional(turns))), replies)
-    return shape_logs(with_frustration(with_quality(routed.where(F.col("route") != ENDING))), prices)
+    busy = busy_keys(turns, "session_id")
+    routed = with_replies(with_route(with_history(with_optional(turns), busy)), replies)
+    return shape_logs(with_frustration(with_quality(routed.where(F.col("route") != ENDING)), busy), prices)
 
 
 # Measurements that only an answered turn has.

@@ -40,8 +40,8 @@ _ORDER = ["hybrid_score", "doc_type", "source_id"]
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """(query_id, query_text, embedding) plus filters and keywords of the text."""
-    text = F.col("query_text")
-    return queries.select(
+    text = F.col("_low")
+    return queries.withColumn("_low", F.lower("query_text")).select(
         F.col("query_id").cast("string").alias("query_id"), "query_text", "embedding",
         d.category(text).alias("detected_category"), d.price_limit(text).alias("price_filter_value"),
         d.keyword_list(text).alias("keywords"))

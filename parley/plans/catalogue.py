@@ -57,7 +57,7 @@ def session_queries() -> dict[str, Query]:
 
 
 def _labelled(flag: str, name: str, label) -> Query:
-    return bridge(lambda t: inputs.texts(t).select("text_id", label(F.col("body")).alias(name))
+    return bridge(lambda t: d.detect(inputs.texts(t), "body", {name: label}).drop("body")
                   .withColumn(flag, F.col(name).isNotNull()))
 
 
@@ -71,12 +71,13 @@ def _logged(t) -> DataFrame:
 
 def enrichment_queries() -> dict[str, Query]:
     def body(make, name):
-        return bridge(lambda t: flat(inputs.texts(t).select("text_id", make(F.col("body")).alias(name))))
+        return bridge(lambda t: flat(d.detect(inputs.texts(t), "body", {name: make}).drop("body")))
 
     return {
         "wellbeing_flag": body(d.wellbeing, "wellbeing"),
         "vulgar_flag": _labelled("vulgar_flag", "vulgar_pattern", d.vulgar_label),
-        "injection_flag": _labelled("prompt_injection_flag", "injection_pattern", d.injection_label),
+        "injection_flag": _labelled("prompt_injection_flag", "injection_pattern",
+                                    lambda low: d.injection_label(low, F.length("body"))),
         "category_detection": body(d.category, "detected_category"),
         "price_extraction": body(d.price_limit, "price_limit"),
         "keyword_lists": body(d.keyword_list, "keywords"),

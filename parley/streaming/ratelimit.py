@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from parley.functions.segments import Previous, TotalBefore, hour_segment, with_state
+from parley.functions.segments import Previous, TotalBefore, busy_keys, hour_segment, with_state
 
 MAX_REQUESTS, WINDOW_SECONDS = 30, 600
 
@@ -51,12 +51,13 @@ def _pieces(requests: DataFrame, window: int) -> DataFrame:
     """Numbers the stretches of each session between quiet gaps."""
     order = ["timestamp", "request_id"]
     us = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    keyed = requests.withColumns({"_us": us, "_seg": hour_segment()})
-    gaps = with_state(keyed, "session_id", order, None, {"_before": Previous(F.col("_us"))})
+    busy = busy_keys(requests, "session_id")
+    gaps = with_state(requests.withColumn("_us", us), "session_id", order, hour_segment(),
+                      {"_before": Previous(F.col("_us"))}, busy)
     fresh = F.coalesce(F.col("_us") - F.col("_before") >= window * 1_000_000, F.lit(False)).cast("int")
     marked = gaps.withColumn("_fresh", fresh).drop("_before")
-    counted = with_state(marked, "session_id", order, None, {"_piece": TotalBefore(F.col("_fresh"))})
-    return counted.withColumn("_piece", F.col("_piece") + F.col("_fresh")).drop("_seg", "_fresh")
+    counted = with_state(marked, "session_id", order, hour_segment(), {"_piece": TotalBefore(F.col("_fresh"))}, busy)
+    return counted.withColumn("_piece", F.col("_piece") + F.col("_fresh")).drop("_fresh")
 
 
 def rate_limit(requests: DataFrame, *, max_requests: int = MAX_REQUESTS,
