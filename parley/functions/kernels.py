@@ -57,6 +57,12 @@ def week_sunday(ts: str = "timestamp") -> Column:
     return F.expr(f"date_sub(to_date({ts}), dayofweek(to_date({ts})) - 1)")
 
 
+def event_time(df: DataFrame, delay: str, ts: str = "timestamp") -> DataFrame:
+    """A stream with a watermark; watermarks need an instant, and times without
+    a zone are UTC here."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 # --- numbers ----------------------------------------------------------------
 
 def rounded(c: Column, places: int) -> Column:

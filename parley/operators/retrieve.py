@@ -199,7 +199,7 @@ def _by_blocks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     left = (queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
                    .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(db - 1)))))
     right = (docs.withColumn("_d", F.pmod(F.xxhash64("doc_type", "source_id"), F.lit(db)).cast("int"))
-                 .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).cast("bigint")))
+                 .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qb - 1).cast("bigint")))))
 
     def best(q: pd.DataFrame, docs_: pd.DataFrame) -> pd.DataFrame:
         if q.empty or docs_.empty:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.kernels import Rank, ratio, rounded, summarise
+from parley.functions.kernels import Rank, event_time, ratio, rounded, summarise
 
 # The alert policies. Durations, alignments and auto-close in seconds.
 
@@ -128,7 +128,7 @@ def incidents(islands: DataFrame, auto_close: int) -> DataFrame:
 
 
 def with_lateness(metrics: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    return metrics.withWatermark("timestamp", delay)
+    return event_time(metrics, delay)
 
 
 # --- the monitoring page -----------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from parley import schemas
-from parley.functions.kernels import day
+from parley.functions.kernels import day, event_time
 from parley.operators import enrich
 
 TURN = T.StructType([
@@ -24,7 +24,7 @@ def read_turns(spark: SparkSession, folder: str, *, files_per_trigger: int = 100
 
 def unique_turns(turns: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drops repeated deliveries of a message within the lateness bound."""
-    return turns.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["message_id"])
+    return event_time(turns, delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
 def write_fact(rows: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parley.functions.kernels import event_time
 from parley.functions.segments import Previous, TotalBefore, busy_keys, hour_segment, with_state
 
 MAX_REQUESTS, WINDOW_SECONDS = 30, 600
@@ -94,6 +95,7 @@ def rate_limit_stream(requests: DataFrame, *, max_requests: int = MAX_REQUESTS,
     """The same on a stream; the state of a session is dropped once the
     watermark is a full window past its last accepted request."""
     window_us = window_seconds * 1_000_000
+    requests = event_time(requests.select("session_id", "request_id", "timestamp"), delay)
     fields = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     out = ", ".join(f"{c} {fields[c]}" for c in ("session_id", "request_id", "timestamp")) + ", allowed boolean"
 
@@ -111,5 +113,5 @@ def rate_limit_stream(requests: DataFrame, *, max_requests: int = MAX_REQUESTS,
             state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
         yield rows[["session_id", "request_id", "timestamp"]].assign(allowed=allowed)
 
-    return (requests.withWatermark("timestamp", delay).groupBy("session_id")
+    return (requests.groupBy("session_id")
             .applyInPandasWithState(step, out, "accepted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout))

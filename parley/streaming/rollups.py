@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.kernels import HUNDRED, day, ratio, rounded
+from parley.functions.kernels import HUNDRED, day, event_time, ratio, rounded
 
 _COUNTS = {"errors": "llm_error", "unanswered": "is_unanswered", "scope_rejections": "scope_rejected",
            "vulgar_blocks": "vulgar_flag", "injection_blocks": "prompt_injection_flag",
@@ -31,7 +31,7 @@ def daily_rollup(chat_logs: DataFrame) -> DataFrame:
 
 def daily_rollup_stream(chat_logs: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The same on a stream: a day is emitted once the watermark has passed it."""
-    daily = chat_logs.withWatermark("timestamp", delay).groupBy(F.window("timestamp", "1 day").alias("_w"))
+    daily = event_time(chat_logs, delay).groupBy(F.window("timestamp", "1 day").alias("_w"))
     return daily.agg(*_rollup_columns()).withColumn("date", F.to_date("_w.start")).drop("_w")
 
 
