@@ -171,6 +171,8 @@ def _ranks(src: DataFrame, keys: list[str], ranks: dict[str, Rank]) -> DataFrame
         pairs.append(F.struct(F.lit(numbered[tag]).alias("_m"), value.alias("_v")))
     values = src.select(*keys, F.inline(F.array(*pairs))).where(F.col("_v").isNotNull())
     hist = values.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if keys:  # one exchange of the value counts serves the windows and the last aggregate
+        hist = hist.repartition(*keys)
     group = Window.partitionBy(*keys, "_m")
     upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.select(*keys, "_m", "_v", "_c", F.sum("_c").over(upto).alias("_upto"),

@@ -88,13 +88,13 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame, version: str, *,
     creation time. ``version`` orders repeated keys within ``incoming``."""
     keys = ["doc_type", "source_id"]
     body = [c for c in existing.columns if c not in (*keys, "created_at")]
-    latest = (incoming.groupBy(*keys).agg(F.max_by(F.struct(*body), F.col(version)).alias("_new"))
-              .withColumn("_hit", F.lit(True)))
-    joined = existing.withColumn("_old", F.lit(True)).join(latest, keys, "full_outer")
-    replaced = F.coalesce(F.col("_hit"), F.lit(False))
-    cols = [F.when(replaced, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in body]
-    created = F.when(F.col("_old").isNull(), now).otherwise(F.col("created_at")).alias("created_at")
-    return joined.select(*keys, *cols, created)
+    latest = incoming.groupBy(*keys).agg(F.max_by(F.struct(*body), F.col(version)).alias("_new"))
+    kept = existing.join(latest.select(*keys), keys, "left_anti")
+    # only keys and times of the stored rows are needed to date the new versions
+    dated = latest.join(existing.select(*keys, F.col("created_at").alias("_old"), F.lit(True).alias("_stored")), keys, "left")
+    created = F.when(F.col("_stored"), F.col("_old")).otherwise(now).alias("created_at")
+    written = dated.select(*keys, *[F.col(f"_new.{c}").alias(c) for c in body], created)
+    return kept.select(*keys, *body, "created_at").unionByName(written)
 
 
 def load_reviews(existing: DataFrame, incoming: DataFrame, products: DataFrame, *order: str) -> DataFrame:

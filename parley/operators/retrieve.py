@@ -165,17 +165,25 @@ def _query_rows(prepared: DataFrame) -> DataFrame:
     return prepared.select("query_id", "embedding", "detected_category", "price_filter_value", "keywords")
 
 
+def bounded_rows(prepared: DataFrame, most: int = MAX_BROADCAST_QUERIES) -> list | None:
+    """The query rows if there are at most ``most`` of them, else None."""
+    rows = _query_rows(prepared).limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
 def candidates(prepared: DataFrame, kb: DataFrame, *, k: int = CANDIDATES,
                max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Best ``k`` documents per query by hybrid score, with ``hybrid_rank``."""
+    """Best ``k`` documents per query by hybrid score, with ``hybrid_rank`` and
+    the number of candidates of the query."""
+    return _candidates(prepared, kb, k, bounded_rows(prepared, max_broadcast))
+
+
+def _candidates(prepared: DataFrame, kb: DataFrame, k: int, rows: list | None) -> DataFrame:
     docs = _doc_columns(kb)
-    small = _query_rows(prepared).limit(max_broadcast + 1).collect()
-    if len(small) <= max_broadcast:
-        found = _by_broadcast(small, docs, k)
-    else:
-        found = _by_blocks(_query_rows(prepared), docs, k)
-    w = Window.partitionBy("query_id").orderBy(*_ORDER)
-    return found.withColumn("hybrid_rank", F.row_number().over(w)).where(F.col("hybrid_rank") <= k)
+    found = _by_blocks(_query_rows(prepared), docs, k) if rows is None else _by_broadcast(rows, docs, k)
+    query = Window.partitionBy("query_id")
+    ranked = found.withColumn("hybrid_rank", F.row_number().over(query.orderBy(*_ORDER))).where(F.col("hybrid_rank") <= k)
+    return ranked.withColumn("ann_candidates_count", F.count(F.lit(1)).over(query))
 
 
 def _by_broadcast(rows: list, docs: DataFrame, k: int) -> DataFrame:
@@ -250,12 +258,13 @@ def retrieve(queries: DataFrame, kb: DataFrame, *, scores: DataFrame | None = No
     """Full retrieval. Without outside scores fewer candidates are fetched."""
     k = k or (CANDIDATES if scores is not None else CANDIDATES_WITHOUT_RANKER)
     prepared = prepare_queries(queries)
-    found = candidates(prepared, kb, k=k, max_broadcast=max_broadcast)
+    rows = bounded_rows(prepared, max_broadcast)
+    found = _candidates(prepared, kb, k, rows)
     results = dedup(rank(found, scores, rerank_k=rerank_k)).where(F.col("rank") <= final_k)
-    return Retrieval(results, quality(prepared, found, results), contexts(prepared, results, kb))
+    return Retrieval(results, quality(prepared, results), contexts(prepared, results, kb, bounded=rows is not None))
 
 
-def quality(prepared: DataFrame, found: DataFrame, results: DataFrame) -> DataFrame:
+def quality(prepared: DataFrame, results: DataFrame) -> DataFrame:
     """One row per query, also for queries that found nothing."""
     product = F.col("doc_type") == "product"
 
@@ -265,20 +274,23 @@ def quality(prepared: DataFrame, found: DataFrame, results: DataFrame) -> DataFr
     per_query = results.groupBy("query_id").agg(
         rounded(F.avg("vec_dist"), 4).alias("rag_confidence"), rounded(F.min("vec_dist"), 4).alias("min_vec_distance"),
         (F.avg("vec_dist") > LOW_CONFIDENCE).alias("low_confidence"),
-        F.max("dedup_removed_count").alias("dedup_removed_count"), variety("brand").alias("unique_brands_count"),
+        F.max("dedup_removed_count").alias("dedup_removed_count"),
+        F.max("ann_candidates_count").alias("ann_candidates_count"), variety("brand").alias("unique_brands_count"),
         variety("category").alias("unique_categories_count"), F.bool_or("rerank_used").alias("rerank_used"))
-    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("ann_candidates_count"))
     base = prepared.select("query_id", "detected_category", "price_filter_value",
                            F.col("price_filter_value").isNotNull().alias("price_filter_used"))
-    return (base.join(counts, "query_id", "left").join(per_query, "query_id", "left")
+    return (base.join(per_query, "query_id", "left")
             .withColumn("ann_candidates_count", F.coalesce("ann_candidates_count", F.lit(0)))
             .withColumn("rag_empty", F.col("rag_confidence").isNull()))
 
 
-def contexts(prepared: DataFrame, results: DataFrame, kb: DataFrame) -> DataFrame:
-    """Context text and product sources per query, in rank order."""
+def contexts(prepared: DataFrame, results: DataFrame, kb: DataFrame, *, bounded: bool = False) -> DataFrame:
+    """Context text and product sources per query, in rank order. ``bounded``
+    says that the number of queries was checked: the few result rows then go
+    to the knowledge base instead of the texts being shuffled."""
     key = ["doc_type", "source_id"]
-    whole = results.join(kb.select(*key, "content"), key)
+    wanted = F.broadcast(results) if bounded else results
+    whole = wanted.join(kb.select(*key, "content"), key)
     part = F.struct(
         "rank", F.col("content"), (F.col("doc_type") == "product").alias("product"),
         F.struct(F.col("source_id").alias("id"), F.coalesce("name", F.lit("")).alias("name"),

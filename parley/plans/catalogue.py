@@ -158,7 +158,7 @@ def knowledge_queries() -> dict[str, Query]:
         "metadata_filter": bridge(lambda t: retrieve.metadata_filter(
             inputs.knowledge_base(t), "garden", 905.0).select("doc_type", "source_id")),
         "query_analysis": bridge(lambda t: flat(retrieve.prepare_queries(inputs.search_queries(t)).drop("embedding", "query_text"))),
-        "hybrid_candidates": bridge(lambda t: _plain(_found(t)).drop("name", "price", "category", "brand")),
+        "hybrid_candidates": bridge(lambda t: _plain(_found(t)).drop("name", "price", "category", "brand", "ann_candidates_count")),
         "reranked": bridge(lambda t: retrieve.rank(
             _found(t, retrieve.CANDIDATES), inputs.ranker_scores(t, _found(t, retrieve.CANDIDATES))).select(
             "query_id", "doc_type", "source_id", "rank", "rerank_used")),

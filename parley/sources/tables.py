@@ -87,8 +87,12 @@ def review_rows(reviews: DataFrame) -> Checked:
 
 
 def append_fact(checked: Checked, root: str, name: str) -> None:
-    """Appends accepted rows by day; rejected rows go to ``<name>_rejected``."""
-    by_day = checked.accepted.withColumn("date", day())
+    """Appends accepted rows by day; rejected rows go to ``<name>_rejected``.
+
+    The rebalance hint gathers a day's rows into few files and splits a day
+    that is too large for one task.
+    """
+    by_day = checked.accepted.withColumn("date", day()).hint("rebalance", "date")
     by_day.write.mode("append").partitionBy("date").parquet(f"{root}/{name}")
     checked.rejected.write.mode("append").parquet(f"{root}/{name}_rejected")
 
