@@ -45,11 +45,18 @@ def block_segment(position: str, size: int = 256) -> Column:
     return F.floor(F.col(position) / size)
 
 
-def busy_keys(df: DataFrame, key: str, most: int = MOST_ROWS) -> list:
-    """Keys with more than ``most`` rows. Runs a job that reads the key column
-    only; there are at most rows / ``most`` such keys."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return [r[0] for r in counts.where(F.col("_n") > most).select(key).collect()]
+def busy_keys(df: DataFrame, *keys: str, most: int = MOST_ROWS) -> list[tuple]:
+    """Key values with more than ``most`` rows. Runs a job that reads the key
+    columns only; there are at most rows / ``most`` such values."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return [tuple(r) for r in counts.where(F.col("_n") > most).select(*keys).collect()]
+
+
+def split_busy(df: DataFrame, keys: list[str], busy: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of the listed keys)."""
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    listed = F.broadcast(df.sparkSession.createDataFrame(busy, schema))
+    return df.join(listed, keys, "left_anti"), df.join(listed, keys, "left_semi")
 
 
 def _local(s: State, value: Column, window: WindowSpec) -> Column:
@@ -62,16 +69,14 @@ def _local(s: State, value: Column, window: WindowSpec) -> Column:
 
 
 def with_state(df: DataFrame, key: str, order: list[str], segment: Column, state: dict[str, State],
-               busy: list | None = None) -> DataFrame:
+               busy: list[tuple] | None = None) -> DataFrame:
     """``df`` plus one column per entry of ``state``. ``busy`` is the result of
     ``busy_keys``; it is looked up when not given."""
     busy = busy_keys(df, key) if busy is None else busy
     if not busy:
         return _plain(df, key, order, state)
-    field = df.schema[key]
-    listed = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in busy], f"{key} {field.dataType.simpleString()}"))
-    rest = _plain(df.join(listed, key, "left_anti"), key, order, state)
-    return rest.unionByName(_segmented(df.join(listed, key, "left_semi"), key, order, segment, state))
+    rest, large = split_busy(df, [key], busy)
+    return _plain(rest, key, order, state).unionByName(_segmented(large, key, order, segment, state))
 
 
 def _plain(df: DataFrame, key: str, order: list[str], state: dict[str, State]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import schemas
+from parley.functions.segments import MOST_ROWS, busy_keys, split_busy
 
 # Fixed values.
 TAX_RATE = "0.08"
@@ -76,37 +77,61 @@ def apply_statuses(orders: DataFrame, updates: DataFrame, *order: str) -> DataFr
     return joined.withColumn("status", F.coalesce("_status", "status")).select(*orders.columns)
 
 
-def merge_carts(events: DataFrame, position: str = "position") -> DataFrame:
+def merge_carts(events: DataFrame, position: str = "position", *, most: int = MOST_ROWS) -> DataFrame:
     """Cart contents out of a log of (cart, item, action, quantity, price).
 
     Actions: add, update (sets the quantity of an item that is in the cart, or
-    removes it at zero or less), remove, and clear (item is NULL). Instead of
-    folding a cart in order, the log is reduced by aggregates: the last event
-    that empties the slot, the first add after it, the last update after that,
-    and the sum of the adds from there on.
+    removes it at zero or less), remove, and clear (item is NULL). Nothing is
+    folded row by row. What counts per slot is the last event that empties it,
+    the first add after that, the last update after the add, and the adds from
+    there on. Ordinary slots find these by windows in one shuffle; a slot with
+    more than ``most`` events finds them by aggregates that combine first.
     """
     p = F.col(position)
-    emptied = ((F.col("action") == "remove") | ((F.col("action") == "update") & (F.col("quantity") <= 0)))
-    cleared = events.where("action = 'clear'").groupBy("cart").agg(F.max(p).alias("_cleared"))
-    per_item = events.where("action <> 'clear'")
-    slot = per_item.groupBy("cart", "item").agg(F.max(F.when(emptied, p)).alias("_emptied"))
-    start = slot.join(cleared, "cart", "left").select(
-        "cart", "item", F.greatest(F.coalesce("_emptied", F.lit(-1)), F.coalesce("_cleared", F.lit(-1))).alias("_from"))
-    live = per_item.join(start, ["cart", "item"]).where((p > F.col("_from")) & ~emptied)
-
-    adds = F.col("action") == "add"
-    opened = live.groupBy("cart", "item").agg(
-        F.min(F.when(adds, p)).alias("_opened"), F.min_by("price", F.when(adds, p)).alias("price"))
-    present = live.join(opened.where("_opened is not null"), ["cart", "item"])
-    sets = (F.col("action") == "update") & (p > F.col("_opened"))
-    last_set = present.groupBy("cart", "item").agg(
-        F.max(F.when(sets, p)).alias("_set_at"), F.max_by("quantity", F.when(sets, p)).alias("_set_to"))
-    counted = live.where(adds).join(last_set, ["cart", "item"])
-    after = F.col("_set_at").isNull() | (p > F.col("_set_at"))
-    total = counted.groupBy("cart", "item").agg(
-        (F.max(F.coalesce("_set_to", F.lit(0))) + F.coalesce(F.sum(F.when(after, F.col("quantity"))), F.lit(0)))
-        .cast("bigint").alias("quantity"))
-    return total.join(opened.select("cart", "item", "price"), ["cart", "item"])
+    last_clear = events.where("action = 'clear'").groupBy("cart").agg(F.max(p).alias("_cleared"))
+    emptied = (F.col("action") == "remove") | ((F.col("action") == "update") & (F.col("quantity") <= 0))
+    log = (events.where("action <> 'clear'").join(last_clear, "cart", "left")
+           .where(F.col("_cleared").isNull() | (p > F.col("_cleared"))).drop("_cleared")
+           .withColumns({"_emptied": F.coalesce(emptied, F.lit(False)), "_add": F.col("action") == "add"}))
+    busy = busy_keys(log, "cart", "item", most=most)
+    if not busy:
+        return _slots_by_windows(log, p)
+    rest, large = split_busy(log, ["cart", "item"], busy)
+    return _slots_by_windows(rest, p).unionByName(_slots_by_aggregates(large, p))
+
+
+def _later(p: Column, mark: str) -> Column:
+    return F.col(mark).isNull() | (p > F.col(mark))
+
+
+def _quantity(p: Column) -> Column:
+    set_to = F.max(F.when(p == F.col("_set_at"), F.col("quantity")))
+    added = F.sum(F.when(F.col("_add") & _later(p, "_set_at"), F.col("quantity")))
+    return (F.coalesce(set_to, F.lit(0)) + F.coalesce(added, F.lit(0))).cast("bigint").alias("quantity")
+
+
+def _slots_by_windows(log: DataFrame, p: Column) -> DataFrame:
+    slot = Window.partitionBy("cart", "item")
+    live = (log.withColumn("_emptied_at", F.max(F.when(F.col("_emptied"), p)).over(slot))
+            .where(~F.col("_emptied") & _later(p, "_emptied_at")))
+    added_at = F.when(F.col("_add"), p)
+    opened = live.withColumns({"_opened": F.min(added_at).over(slot), "_price": F.min_by("price", added_at).over(slot)})
+    sets = ~F.col("_add") & (p > F.col("_opened"))
+    present = (opened.where("_opened is not null")
+               .withColumn("_set_at", F.max(F.when(sets, p)).over(slot)))
+    return present.groupBy("cart", "item").agg(_quantity(p), F.max("_price").alias("price"))
+
+
+def _slots_by_aggregates(log: DataFrame, p: Column) -> DataFrame:
+    slot = ["cart", "item"]
+    emptied = log.groupBy(*slot).agg(F.max(F.when(F.col("_emptied"), p)).alias("_emptied_at"))
+    live = log.join(emptied, slot).where(~F.col("_emptied") & _later(p, "_emptied_at"))
+    added_at = F.when(F.col("_add"), p)
+    opened = live.groupBy(*slot).agg(F.min(added_at).alias("_opened"), F.min_by("price", added_at).alias("_price"))
+    present = live.join(opened.where("_opened is not null"), slot)
+    sets = ~F.col("_add") & (p > F.col("_opened"))
+    last_set = present.groupBy(*slot).agg(F.max(F.when(sets, p)).alias("_set_at"))
+    return present.join(last_set, slot).groupBy(*slot).agg(_quantity(p), F.max("_price").alias("price"))
 
 
 def cart_totals(carts: DataFrame) -> DataFrame:

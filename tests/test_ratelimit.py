@@ -39,7 +39,7 @@ def test_batch_equals_brute_force(spark, seed, most, window):
 def test_a_busy_session_is_cut_into_segments(spark, monkeypatch):
     rows = flood(5)
     plain = segments.busy_keys
-    monkeypatch.setattr("parley.streaming.ratelimit.busy_keys", lambda df, key: plain(df, key, 50))
+    monkeypatch.setattr("parley.streaming.ratelimit.busy_keys", lambda df, key: plain(df, key, most=50))
     got = rate_limit(spark.createDataFrame(rows, SCHEMA), max_requests=4, window_seconds=60).collect()
     assert {r.request_id: r.allowed for r in got} == brute(rows, 4, 60)
 

@@ -27,8 +27,8 @@ def expected(rows):
 @pytest.mark.parametrize("most", [0, 100, 10_000])
 def test_state_is_the_same_for_plain_and_segmented_keys(spark, rows, most):
     df = spark.createDataFrame(rows, "key string, at int, v int")
-    busy = busy_keys(df, "key", most)
-    assert ("hot" in busy) == (most < 300)
+    busy = busy_keys(df, "key", most=most)
+    assert (("hot",) in busy) == (most < 300)
     v = F.col("v")
     got = with_state(df, "key", ["at"], block_segment("at", 7), {
         "p": Previous(v), "k": LastKnown(v), "t": TotalBefore(v)}, busy).collect()
@@ -37,6 +37,6 @@ def test_state_is_the_same_for_plain_and_segmented_keys(spark, rows, most):
 
 def test_large_key_meets_only_as_summaries(spark, rows):
     df = spark.createDataFrame(rows, "key string, at int, v int")
-    out = with_state(df, "key", ["at"], block_segment("at", 7), {"t": TotalBefore(F.col("v"))}, ["hot"])
+    out = with_state(df, "key", ["at"], block_segment("at", 7), {"t": TotalBefore(F.col("v"))}, [("hot",)])
     plan = out._jdf.queryExecution().toString()
     assert "_seg" in plan and "LeftAnti" in plan
