@@ -1,7 +1,7 @@
 """Checking SQL of knowledge, commerce, source and monitoring operators."""
 from __future__ import annotations
 
-from oracle.base import cnt, q, r, register
+from oracle.base import cnt, pct, q, r, register
 from oracle.enrichment import category, keywords, price
 
 SQL: dict[str, str] = {}
@@ -286,3 +286,30 @@ put("rolling_summary", f"""SELECT count(*) AS requests_sampled, {r(f"(1 - {cnt('
 put("rolling_errors", "SELECT llm_error_type AS error_type, count(*) AS count FROM newest_turns WHERE llm_error_type <> '' GROUP BY 1")
 put("rolling_categories", f"""SELECT coalesce(nullif(detected_category, ''), 'General / Conversational') AS category, count(*) AS requests,
  {cnt('is_unanswered')} AS unanswered, {_p1('is_unanswered')} AS unanswered_rate_pct FROM newest_turns GROUP BY 1""")
+
+_FLAGS = {"errors": "llm_error", "unanswered": "is_unanswered", "scope_rejections": "scope_rejected", "vulgar_blocks": "vulgar_flag",
+          "injection_blocks": "prompt_injection_flag", "frustrated": "frustration_signal", "rec_gaps": "rec_gap"}
+put("rollup_totals", f"""SELECT count(*) AS requests, {', '.join(f'{cnt(c)} AS {n}' for n, c in _FLAGS.items())},
+ {', '.join(f'{pct(c)} AS {n}_rate_pct' for n, c in _FLAGS.items())}, CAST(floor(sum(coalesce(ttft_ms, 0)) / count(*) + 0.5) AS BIGINT)
+ AS avg_ttft_ms, {r('sum(coalesce(estimated_cost_usd, 0))', 4)} AS total_cost_usd FROM chat_logs""")
+
+
+def _retyped(name: str, kind: str, *columns: str) -> None:
+    casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c in columns)
+    SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({SQL[name]})"
+
+
+# decimals are compared as doubles, positions as 32-bit integers
+for _name in ("product_search", "product_page", "featured_products"):
+    _retyped(_name, "DOUBLE", "price", "original_price", "rating")
+_retyped("order_pricing", "DOUBLE", "subtotal", "tax", "shipping", "total")
+_retyped("order_item_lists", "DOUBLE", "subtotal", "total")
+for _name in ("newest_orders", "order_status_updates", "cart_totals"):
+    _retyped(_name, "DOUBLE", "total")
+for _name in ("cart_contents", "apply_product_changes"):
+    _retyped(_name, "DOUBLE", "price")
+for _name in ("reviews_recent", "reviews_highest", "reviews_lowest", "newest_orders"):
+    _retyped(_name, "INTEGER", "position")
+_retyped("hybrid_candidates", "INTEGER", "hybrid_rank")
+for _name in ("reranked", "retrieval_results"):
+    _retyped(_name, "INTEGER", "rank")

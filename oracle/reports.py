@@ -340,3 +340,8 @@ put("conversion_trend", f"""WITH c AS ({RAW['biz_conversion']}), w AS (SELECT {W
  SELECT week_start, conversion_rate_pct, coalesce(conversion_rate_pct < x AND x < y, false) AS flagged FROM l""")
 put("intent_display_names", f"""WITH n(intent, label) AS (VALUES {_values(INTENT_NAMES.items())}), i AS ({RAW['tech_intents']})
  SELECT i.intent, i.count, coalesce(n.label, i.intent) AS label FROM i LEFT JOIN n ON n.intent = i.intent""")
+put("weekly_run", " UNION ALL ".join(
+    f"SELECT '{audience}' AS audience, name AS kpi, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({RAW[report]}))"
+    " ON COLUMNS(*) INTO NAME name VALUE value)"
+    for audience, report in (("devops", "agent_devops_summary"), ("tech", "agent_tech_summary"),
+                             ("business", "agent_satisfaction_summary"), ("business", "agent_feedback"))))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from parley.functions.segments import block_segment
 from parley.operators import detectors as d
 from parley.operators import catalog, documents, enrich, orders, retrieve, sessions, status
+from parley.plans import bundles
 from parley.plans.registry import ALL, NAMED, VARIANTS
 from parley.sources import inputs, tables
 from parley.sources.bridge import AS_OF, bridge
@@ -42,6 +43,17 @@ def _first_session(t) -> DataFrame:
     return sessions.session_detail(t, session_id=first)
 
 
+def _weekly(t) -> DataFrame:
+    """One-row sections of the weekly run in long form."""
+    made = bundles.weekly_run(t, as_of=AS_OF, days=30)
+    parts = [status.long_form(sections[s]).withColumn("audience", F.lit(name)) for name, sections in made.items()
+             for s in ("summary", "satisfaction_summary", "feedback_summary") if s in sections]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def session_queries() -> dict[str, Query]:
     return {
         "session_outcomes": bridge(sessions.session_outcomes),
@@ -53,6 +65,7 @@ def session_queries() -> dict[str, Query]:
         "conversion_trend": bridge(lambda t: status.conversion_trend(t, as_of=AS_OF)),
         "biz_conversion_mean": bridge(lambda t: status.mean_conversion(t, as_of=AS_OF)),
         "intent_display_names": bridge(lambda t: status.named_intents(t, as_of=AS_OF)),
+        "weekly_run": bridge(_weekly),
     }
 
 
@@ -309,10 +322,23 @@ def monitoring_queries() -> dict[str, Query]:
         "rolling_summary": bridge(lambda t: alerts.rolling_summary(t["chat_logs"])),
         "rolling_errors": bridge(lambda t: alerts.rolling_errors(t["chat_logs"])),
         "rolling_categories": bridge(lambda t: alerts.rolling_categories(t["chat_logs"])),
+        "rollup_totals": bridge(lambda t: rollups.period_from_rollup(rollups.daily_rollup(t["chat_logs"])).drop(
+            "approx_sessions", "approx_p50_latency_ms", "approx_p95_latency_ms")),
         "rollup_period": bridge(lambda t: rollups.period_from_rollup(rollups.daily_rollup(t["chat_logs"]))),
     }
 
 
+def _numbers(query: Query) -> Query:
+    """Decimals as doubles, so that results compare across engines."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        df = query(spark, folder)
+        cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                for f in df.schema.fields]
+        return df.select(*cols) if any(isinstance(f.dataType, T.DecimalType) for f in df.schema.fields) else df
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {**reports(), **session_queries(), **enrichment_queries(), **knowledge_queries(), **commerce_queries(),
-            **source_queries(), **monitoring_queries()}
+    every = {**reports(), **session_queries(), **enrichment_queries(), **knowledge_queries(), **commerce_queries(),
+             **source_queries(), **monitoring_queries()}
+    return {name: _numbers(query) for name, query in every.items()}
