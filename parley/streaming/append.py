@@ -11,9 +11,9 @@ from parley.functions.kernels import day, event_time
 from parley.operators import enrich
 
 TURN = T.StructType([
-    *schemas._struct("session_id:s message_id:s timestamp:t user_message:s assistant_response:s").fields,
+    *schemas.struct_of("session_id:s message_id:s timestamp:t user_message:s assistant_response:s").fields,
     T.StructField("retrieved_sources", schemas.SOURCES), T.StructField("history", schemas.HISTORY),
-    *schemas._struct("latency_ms:i embed_ms:i db_ms:i rag_ms:i llm_ms:i ttft_ms:i embed_model:s llm_error_type:s"
+    *schemas.struct_of("latency_ms:i embed_ms:i db_ms:i rag_ms:i llm_ms:i ttft_ms:i embed_model:s llm_error_type:s"
                      " intent_text:s target_text:s intent_tokens_in:i intent_tokens_out:i").fields])
 
 
