@@ -9,11 +9,13 @@ that meet blocks of the knowledge base.
 """
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from parley.functions import rules
 from parley.functions.kernels import rounded
 from parley.operators import detectors as d
 
+# The functions that run in tasks travel whole, so executors do not need this
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BONUS = 0.15
 CANDIDATES, RERANKED, RETURNED = 50, 16, 8
 CANDIDATES_WITHOUT_RANKER = 10

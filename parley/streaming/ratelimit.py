@@ -11,11 +11,13 @@ per-row work.
 """
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,6 +25,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from parley.functions.kernels import event_time
 from parley.functions.segments import Previous, TotalBefore, busy_keys, hour_segment, with_state
 
+# The functions that run in tasks travel whole, so executors do not need this
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_REQUESTS, WINDOW_SECONDS = 30, 600
 
 
