@@ -256,9 +256,9 @@ def grouped(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFram
         "id", "text_key", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
-def survivors(docs: DataFrame) -> DataFrame:
+def survivors(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """Rows of ``docs`` with the smallest id of their group; one row where that id repeats."""
-    kept_keys = grouped(docs).where("id = component").select("id", "text_key").dropDuplicates(["id"])
+    kept_keys = grouped(docs, words, limit).where("id = component").select("id", "text_key").dropDuplicates(["id"])
     rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_key": F.xxhash64(text_of())})
     found = rows.join(kept_keys, (rows["_id"] == kept_keys["id"]) & (rows["_key"] == kept_keys["text_key"]), "left_semi")
     return found.dropDuplicates(["_id"]).select(*docs.columns)

@@ -1,4 +1,5 @@
 """Queries of this subpackage over the test tables, and their checking SQL."""
+import corpus_pipeline
 from parley.llm import bpe, ctw, fingerprints, linededup, mixing, neardup, quality, rules, secretscan, surrogates
 
 
@@ -14,6 +15,7 @@ def queries():
         "op8_secret_scan": secretscan.query,
         "op9_source_mix": mixing.query,
         "op10_fingerprints": fingerprints.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
