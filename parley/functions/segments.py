@@ -1,10 +1,10 @@
 """Ordered per-key state without gathering a large key in one task.
 
-Keys of ordinary size use plain windows: one shuffle, and a second call on the
-same key needs none. A window over a very large key would put all of its rows
-in one task, so keys above a row limit are found first. Their rows are cut
-into segments; windows run inside a segment, and a small per-segment summary
-carries the state from one segment to the next.
+Every key is cut into fine segments (minutes, or blocks of positions). Windows run
+inside a segment; the last row of a segment sums it up, and these few rows carry
+the state from one segment to the next in the same way, by coarser segments. Only
+the coarsest level (days) is ordered per whole key. There is one plan for all
+keys, whatever their size, and none of it runs before the result is asked for.
 """
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-MOST_ROWS = 200_000
+MINUTES = (1440,)  # a day of minutes is the next segment above minutes
+BLOCKS = (4096,)
 
 
 @dataclass(frozen=True)
@@ -37,28 +38,14 @@ class TotalBefore:
 State = Previous | LastKnown | TotalBefore
 
 
-def hour_segment(ts: str = "timestamp") -> Column:
-    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
+def minute_segment(ts: str = "timestamp") -> Column:
+    return F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / 60)
 
 
 def block_segment(position: str, size: int = 256) -> Column:
     return F.floor(F.col(position) / size)
 
 
-def busy_keys(df: DataFrame, *keys: str, most: int = MOST_ROWS) -> list[tuple]:
-    """Key values with more than ``most`` rows. Runs a job that reads the key
-    columns only; there are at most rows / ``most`` such values."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return [tuple(r) for r in counts.where(F.col("_n") > most).select(*keys).collect()]
-
-
-def split_busy(df: DataFrame, keys: list[str], busy: list[tuple]) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of the listed keys)."""
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    listed = F.broadcast(df.sparkSession.createDataFrame(busy, schema))
-    return df.join(listed, keys, "left_anti"), df.join(listed, keys, "left_semi")
-
-
 def _local(s: State, value: Column, window: WindowSpec) -> Column:
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
     if isinstance(s, Previous):
@@ -68,45 +55,42 @@ def _local(s: State, value: Column, window: WindowSpec) -> Column:
     return F.coalesce(F.sum(value).over(earlier), F.lit(0))
 
 
-def with_state(df: DataFrame, key: str, order: list[str], segment: Column, state: dict[str, State],
-               busy: list[tuple] | None = None) -> DataFrame:
-    """``df`` plus one column per entry of ``state``. ``busy`` is the result of
-    ``busy_keys``; it is looked up when not given."""
-    busy = busy_keys(df, key) if busy is None else busy
-    if not busy:
-        return _plain(df, key, order, state)
-    rest, large = split_busy(df, [key], busy)
-    return _plain(rest, key, order, state).unionByName(_segmented(large, key, order, segment, state))
+def _tail(s: State, value: Column, here: Column) -> Column:
+    """What the last row of a segment hands on."""
+    if isinstance(s, Previous):
+        return value
+    return F.coalesce(value, here) if isinstance(s, LastKnown) else here + F.coalesce(value, F.lit(0))
+
 
+def _final(s: State, here: Column, carry: Column) -> Column:
+    if isinstance(s, Previous):
+        return F.when(F.col("_first"), carry).otherwise(here)
+    return F.coalesce(here, carry) if isinstance(s, LastKnown) else here + F.coalesce(carry, F.lit(0))
 
-def _plain(df: DataFrame, key: str, order: list[str], state: dict[str, State]) -> DataFrame:
-    window = Window.partitionBy(key).orderBy(*order)
-    return df.withColumns({n: _local(s, s.value, window) for n, s in state.items()})
 
+def with_state(df: DataFrame, key: str, order: list[str], segment: Column, state: dict[str, State],
+               coarser: tuple[int, ...] = MINUTES) -> DataFrame:
+    """``df`` plus one column per entry of ``state``.
 
-def _segmented(df: DataFrame, key: str, order: list[str], segment: Column, state: dict[str, State]) -> DataFrame:
+    ``segment`` is a whole number that grows with ``order``; ``coarser`` says how many
+    segments make one of the next level, level by level.
+    """
     src = df.withColumns({f"_v_{n}": s.value for n, s in state.items()}).withColumn("_seg", segment)
     inside = Window.partitionBy(key, "_seg").orderBy(*order)
-    before = Window.partitionBy(key).orderBy("_seg")
-    before_all = before.rowsBetween(Window.unboundedPreceding, -1)
-
-    local, tails, carries, finals = {"_rn": F.row_number().over(inside)}, [], [], {}
-    at = F.struct(*order)
-    for n, s in state.items():
-        v, here, carry = F.col(f"_v_{n}"), F.col(f"_l_{n}"), F.col(f"_c_{n}")
-        local[f"_l_{n}"] = _local(s, v, inside)
-        if isinstance(s, Previous):
-            tail, carried_over = F.max_by(v, at), F.lag(f"_t_{n}", 1).over(before)
-            finals[n] = F.when(F.col("_rn") == 1, carry).otherwise(here)
-        elif isinstance(s, LastKnown):
-            tail, carried_over = F.max_by(v, F.when(v.isNotNull(), at)), F.last(f"_t_{n}", ignorenulls=True).over(before_all)
-            finals[n] = F.coalesce(here, carry)
-        else:
-            tail, carried_over = F.sum(v), F.sum(f"_t_{n}").over(before_all)
-            finals[n] = here + F.coalesce(carry, F.lit(0))
-        tails.append(tail.alias(f"_t_{n}"))
-        carries.append(carried_over.alias(f"_c_{n}"))
-
-    carried = src.groupBy(key, "_seg").agg(*tails).select(key, "_seg", *carries)
-    joined = src.withColumns(local).join(carried, [key, "_seg"], "left")
-    return joined.select(*df.columns, *[c.alias(n) for n, c in finals.items()])
+    here = {f"_l_{n}": _local(s, F.col(f"_v_{n}"), inside) for n, s in state.items()}
+    marked = src.withColumns(here | {"_first": F.row_number().over(inside) == 1})
+
+    tails = src.withColumns(here | {"_last": F.lead(F.lit(1)).over(inside).isNull()}).where("_last").select(
+        F.col(key).alias("_key"), F.col("_seg").alias("_at"),
+        *[_tail(s, F.col(f"_v_{n}"), F.col(f"_l_{n}")).alias(f"_t_{n}") for n, s in state.items()])
+    again = {f"_c_{n}": type(s)(F.col(f"_t_{n}")) for n, s in state.items()}
+    if coarser:
+        carried = with_state(tails, "_key", ["_at"], F.floor(F.col("_at") / coarser[0]), again, coarser[1:])
+    else:
+        whole = Window.partitionBy("_key").orderBy("_at")
+        carried = tails.withColumns({n: _local(s, s.value, whole) for n, s in again.items()})
+    carried = carried.select("_key", "_at", *again)
+
+    joined = marked.join(carried, marked[key].eqNullSafe(carried["_key"]) & marked["_seg"].eqNullSafe(carried["_at"]))
+    return joined.select(*[marked[c] for c in df.columns], *[
+        _final(s, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, s in state.items()])

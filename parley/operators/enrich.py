@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.functions.kernels import rounded
-from parley.functions.segments import LastKnown, Previous, TotalBefore, busy_keys, hour_segment, with_state
+from parley.functions.segments import BLOCKS, LastKnown, Previous, TotalBefore, minute_segment, with_state
 from parley.operators import detectors as d
 
 # Routes in guard order.
@@ -33,7 +33,7 @@ def parse_sources(column: str = "retrieved_sources") -> Column:
     return F.from_json(F.col(column), schemas.SOURCES)
 
 
-def with_history(turns: DataFrame, busy: list | None = None) -> DataFrame:
+def with_history(turns: DataFrame) -> DataFrame:
     """Adds ``last_reply``, ``turn_number`` and ``history_chars``.
 
     Requests that carry their history are read row by row; otherwise the state
@@ -47,9 +47,9 @@ def with_history(turns: DataFrame, busy: list | None = None) -> DataFrame:
             "turn_number": (F.greatest(replies, F.lit(0)) + 1).cast("bigint"),
             "history_chars": F.coalesce(chars, F.lit(0)).cast("bigint")})
     size = F.length("user_message") + F.length("assistant_response")
-    out = with_state(turns, "session_id", ["timestamp", "message_id"], hour_segment(), {
+    out = with_state(turns, "session_id", ["timestamp", "message_id"], minute_segment(), {
         "last_reply": LastKnown(F.col("assistant_response")), "_turns": TotalBefore(F.lit(1)),
-        "history_chars": TotalBefore(size)}, busy)
+        "history_chars": TotalBefore(size)})
     return out.withColumn("turn_number", (F.col("_turns") + 1).cast("bigint")).drop("_turns")
 
 
@@ -57,7 +57,7 @@ def turn_numbers(messages: DataFrame, key: str, position: str, segment: Column)
     """Turn number of each user message in a long (key, position, role) table:
     one more than the assistant messages before it."""
     replied = (F.col("role") == "assistant").cast("int")
-    out = with_state(messages, key, [position], segment, {"_replies": TotalBefore(replied)})
+    out = with_state(messages, key, [position], segment, {"_replies": TotalBefore(replied)}, BLOCKS)
     return (out.where("role = 'user'").withColumn("turn_number", (F.col("_replies") + 1).cast("bigint"))
                .drop("_replies"))
 
@@ -109,14 +109,14 @@ def with_quality(turns: DataFrame) -> DataFrame:
     }).drop("_low_response", "_low_query")
 
 
-def with_frustration(turns: DataFrame, busy: list | None = None) -> DataFrame:
+def with_frustration(turns: DataFrame) -> DataFrame:
     """Adds frustration signal and reason. Blocked turns never reach the answer
     buffer, so the previous "unanswered" skips them; the previous message does
     not. Expects logged turns only."""
     reached = ~F.col("route").isin(INJECTION, VULGAR)
-    out = with_state(turns, "session_id", ["timestamp", "message_id"], hour_segment(), {
+    out = with_state(turns, "session_id", ["timestamp", "message_id"], minute_segment(), {
         "_previous": Previous(F.col("user_message")),
-        "_previous_unanswered": LastKnown(F.when(reached, F.col("is_unanswered")))}, busy)
+        "_previous_unanswered": LastKnown(F.when(reached, F.col("is_unanswered")))})
     lowered = out.withColumns({"_low": F.lower("user_message"), "_low_previous": F.lower("_previous")})
     reason = d.frustration_reason(F.col("_low"), F.col("_low_previous"), F.col("_previous_unanswered"))
     out = lowered.withColumn("frustration_reason", reason).drop(
@@ -132,9 +132,8 @@ def enrich_turns(turns: DataFrame, *, replies: dict[str, str] | None = None,
     assistant_response and retrieved_sources (NULL: nothing was searched), and
     any of the optional measurements and classifier outputs.
     """
-    busy = busy_keys(turns, "session_id")
-    routed = with_replies(with_route(with_history(with_optional(turns), busy)), replies)
-    return shape_logs(with_frustration(with_quality(routed.where(F.col("route") != ENDING)), busy), prices)
+    routed = with_replies(with_route(with_history(with_optional(turns))), replies)
+    return shape_logs(with_frustration(with_quality(routed.where(F.col("route") != ENDING))), prices)
 
 
 # Measurements that only an answered turn has.

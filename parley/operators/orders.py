@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import schemas
-from parley.functions.segments import MOST_ROWS, busy_keys, split_busy
 
 # Fixed values.
 TAX_RATE = "0.08"
@@ -77,15 +76,15 @@ def apply_statuses(orders: DataFrame, updates: DataFrame, *order: str) -> DataFr
     return joined.withColumn("status", F.coalesce("_status", "status")).select(*orders.columns)
 
 
-def merge_carts(events: DataFrame, position: str = "position", *, most: int = MOST_ROWS) -> DataFrame:
+def merge_carts(events: DataFrame, position: str = "position") -> DataFrame:
     """Cart contents out of a log of (cart, item, action, quantity, price).
 
     Actions: add, update (sets the quantity of an item that is in the cart, or
     removes it at zero or less), remove, and clear (item is NULL). Nothing is
     folded row by row. What counts per slot is the last event that empties it,
     the first add after that, the last update after the add, and the adds from
-    there on. Ordinary slots find these by windows in one shuffle; a slot with
-    more than ``most`` events finds them by aggregates that combine first.
+    there on. Each is an aggregate that combines before it shuffles, so a slot
+    may have any number of events.
     """
     p = F.col(position)
     last_clear = events.where("action = 'clear'").groupBy("cart").agg(F.max(p).alias("_cleared"))
@@ -93,11 +92,7 @@ def merge_carts(events: DataFrame, position: str = "position", *, most: int = MO
     log = (events.where("action <> 'clear'").join(last_clear, "cart", "left")
            .where(F.col("_cleared").isNull() | (p > F.col("_cleared"))).drop("_cleared")
            .withColumns({"_emptied": F.coalesce(emptied, F.lit(False)), "_add": F.col("action") == "add"}))
-    busy = busy_keys(log, "cart", "item", most=most)
-    if not busy:
-        return _slots_by_windows(log, p)
-    rest, large = split_busy(log, ["cart", "item"], busy)
-    return _slots_by_windows(rest, p).unionByName(_slots_by_aggregates(large, p))
+    return _slots(log, p)
 
 
 def _later(p: Column, mark: str) -> Column:
@@ -110,19 +105,7 @@ def _quantity(p: Column) -> Column:
     return (F.coalesce(set_to, F.lit(0)) + F.coalesce(added, F.lit(0))).cast("bigint").alias("quantity")
 
 
-def _slots_by_windows(log: DataFrame, p: Column) -> DataFrame:
-    slot = Window.partitionBy("cart", "item")
-    live = (log.withColumn("_emptied_at", F.max(F.when(F.col("_emptied"), p)).over(slot))
-            .where(~F.col("_emptied") & _later(p, "_emptied_at")))
-    added_at = F.when(F.col("_add"), p)
-    opened = live.withColumns({"_opened": F.min(added_at).over(slot), "_price": F.min_by("price", added_at).over(slot)})
-    sets = ~F.col("_add") & (p > F.col("_opened"))
-    present = (opened.where("_opened is not null")
-               .withColumn("_set_at", F.max(F.when(sets, p)).over(slot)))
-    return present.groupBy("cart", "item").agg(_quantity(p), F.max("_price").alias("price"))
-
-
-def _slots_by_aggregates(log: DataFrame, p: Column) -> DataFrame:
+def _slots(log: DataFrame, p: Column) -> DataFrame:
     slot = ["cart", "item"]
     emptied = log.groupBy(*slot).agg(F.max(F.when(F.col("_emptied"), p)).alias("_emptied_at"))
     live = log.join(emptied, slot).where(~F.col("_emptied") & _later(p, "_emptied_at"))

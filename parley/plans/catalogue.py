@@ -293,8 +293,11 @@ def _flood(t) -> DataFrame:
 
 
 def _sustained(metrics, policy: str, seconds: int, threshold: float, duration: int):
+    """Aligned per series; where a policy combines its series, by their mean in each window."""
     p = alerts.POLICIES[policy]
     aligned = alerts.align(metrics, seconds, p.aligner)
+    if p.reducer:
+        aligned = alerts.reduce_series(aligned, p.reducer).withColumn("series", F.lit("chat"))
     return alerts.sustained(aligned, p, threshold=threshold, step=seconds, duration=duration)
 
 
@@ -305,26 +308,39 @@ def monitoring_queries() -> dict[str, Query]:
         "injection_spikes": _spikes("injection", "injection_spike", 0),
         "rerank_error_spikes": _spikes("rerank", "rerank_errors", 1),
         "request_floods": bridge(_flood),
-        "server_error_alerts": bridge(lambda t: _sustained(inputs.error_metrics(t), "server_errors", hour, 0.0005, 2 * hour)),
-        "latency_alerts": bridge(lambda t: _sustained(
-            inputs.latency_metrics(t).withColumn("series", F.lit("chat")), "latency", hour, 10000, 3 * hour)),
+        "server_error_alerts": bridge(lambda t: _sustained(
+            inputs.latency_metrics(t).withColumn("value", (F.col("response_class") == "5xx").cast("int")),
+            "server_errors", hour, 0.00001, 2 * hour)),
+        "latency_alerts": bridge(lambda t: _sustained(inputs.latency_metrics(t), "latency", hour, 5000, 3 * hour)),
+        "connection_alerts": bridge(lambda t: _sustained(
+            inputs.latency_metrics(t).withColumn("value", F.col("value") / 100), "database_connections", hour, 80, hour)),
+        "insert_error_alerts": bridge(lambda t: _sustained(inputs.error_metrics(t), "insert_errors", hour, 0, 2 * hour)),
         "gauge_alerts": bridge(lambda t: _sustained(
             inputs.latency_metrics(t).withColumn("series", F.lit("chat")), "database_cpu", hour, 5000, 2 * hour)),
         "uptime_alerts": bridge(lambda t: _sustained(inputs.error_metrics(t), "uptime", hour, 6, 2 * hour)),
         "latency_incidents": bridge(lambda t: alerts.incidents(_sustained(
-            inputs.latency_metrics(t).withColumn("series", F.lit("chat")), "latency", hour, 10000, hour), 2 * hour)),
+            inputs.latency_metrics(t), "latency", hour, 6000, hour), 2 * hour)),
         "chart_request_rate": bridge(lambda t: alerts.chart(
             inputs.latency_metrics(t).withColumn("value", F.lit(1)), "request_rate", seconds=hour, by="response_class")),
         "chart_latency_p95": bridge(lambda t: alerts.chart(inputs.latency_metrics(t), "latency_p95", seconds=hour)),
         "chart_instances": bridge(lambda t: alerts.chart(inputs.latency_metrics(t), "instances", seconds=hour)),
         "chart_database_cpu": bridge(lambda t: alerts.chart(inputs.latency_metrics(t), "database_cpu", seconds=hour)
                                      .withColumn("value", F.round("value", 4))),
+        "chart_memory_p95": bridge(lambda t: alerts.chart(
+            inputs.latency_metrics(t).withColumn("value", F.col("value") / 20000), "memory_p95", seconds=hour)),
+        "chart_database_connections": bridge(lambda t: alerts.chart(
+            inputs.latency_metrics(t), "database_connections", seconds=hour).withColumn("value", F.round("value", 4))),
+        "chart_insert_errors": bridge(lambda t: alerts.chart(inputs.error_metrics(t), "insert_errors", seconds=hour)
+                                      .withColumn("value", F.round("value", 6))),
+        "chart_database_memory": bridge(lambda t: alerts.chart(
+            inputs.latency_metrics(t).withColumn("value", F.col("value") / 20000), "database_memory", seconds=hour)
+            .withColumn("value", F.round("value", 6))),
         "rolling_summary": bridge(lambda t: alerts.rolling_summary(t["chat_logs"])),
         "rolling_errors": bridge(lambda t: alerts.rolling_errors(t["chat_logs"])),
         "rolling_categories": bridge(lambda t: alerts.rolling_categories(t["chat_logs"])),
         "rollup_totals": bridge(lambda t: rollups.period_from_rollup(rollups.daily_rollup(t["chat_logs"])).drop(
             "approx_sessions", "approx_p50_latency_ms", "approx_p95_latency_ms")),
-        "rollup_period": bridge(lambda t: rollups.period_from_rollup(rollups.daily_rollup(t["chat_logs"]))),
+        "rollup_period": bridge(lambda t: rollups.checked_period(t["chat_logs"])),
     }
 
 

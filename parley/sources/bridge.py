@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.segments import TotalBefore, busy_keys, hour_segment, with_state
+from parley.functions.segments import TotalBefore, minute_segment, with_state
 from parley.sources import bridge_sql as sql
 
 AS_OF = datetime(2024, 1, 31)
@@ -21,10 +21,6 @@ AS_OF = datetime(2024, 1, 31)
 class Bridge(Mapping):
     """Lazy mapping of table name to DataFrame over one data folder."""
 
-    # Large sessions per folder. The list only chooses how the turn number is
-    # computed, never its value, so it may outlive a change of the data.
-    _busy: dict[str, list] = {}
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
@@ -53,10 +49,8 @@ class Bridge(Mapping):
 
     def _chat_logs(self) -> DataFrame:
         plain = self.spark.sql(sql.CHAT_LOGS, chat_turns_raw=self["chat_turns_raw"])
-        if self.folder not in self._busy:
-            self._busy[self.folder] = busy_keys(plain, "session_id")
-        numbered = with_state(plain, "session_id", ["timestamp", "event_id"], hour_segment(),
-                              {"_before": TotalBefore(F.lit(1))}, self._busy[self.folder])
+        numbered = with_state(plain, "session_id", ["timestamp", "event_id"], minute_segment(),
+                              {"_before": TotalBefore(F.lit(1))})
         turn = (F.col("_before") + 1).cast("bigint")
         return numbered.withColumn("turn_number", turn).drop("_before", "event_id")
 

@@ -26,11 +26,12 @@ class Policy:
     duration: int = 0
     auto_close: int = 1800
     comparison: str = "gt"
+    reducer: str | None = None
 
 
 POLICIES = {p.name: p for p in [
-    Policy("server_errors", 60, "rate", 0.01, 300),
-    Policy("latency", 60, "p99", 10000, 300),
+    Policy("server_errors", 60, "rate", 0.01, 300, reducer="mean"),
+    Policy("latency", 60, "p99", 10000, 300, reducer="mean"),
     Policy("database_cpu", 60, "mean", 0.8, 600),
     Policy("database_connections", 60, "mean", 80, 300),
     Policy("insert_errors", 60, "rate", 0, 300, 3600),
@@ -41,6 +42,9 @@ POLICIES = {p.name: p for p in [
 ]}
 
 
+PLACES = 6  # decimals that percentiles keep: values may be fractions
+
+
 def aligned_window(seconds: int, ts: str = "timestamp") -> Column:
     return F.window(ts, f"{seconds} seconds")["start"]
 
@@ -68,7 +72,7 @@ def align(metrics: DataFrame, seconds: int, aligner: str, by: str = "series") ->
             out = metrics.groupBy(F.window("timestamp", f"{seconds} seconds").alias("_w"), by).agg(value.alias("value"))
             return out.select(by, F.col("_w.start").alias("window_start"), "value")
         keyed = metrics.withColumn("_start", start)
-        ranked = summarise(keyed, {by: F.col(by), "window_start": F.col("_start")}, {"value": Rank("value", pct)})
+        ranked = summarise(keyed, {by: F.col(by), "window_start": F.col("_start")}, {"value": Rank("value", pct, PLACES)})
         return ranked.withColumn("value", F.col("value").cast("double"))
     out = metrics.groupBy(F.window("timestamp", f"{seconds} seconds").alias("_w"), by)
     return out.agg(_aligners(seconds)[aligner]().alias("value")).select(by, F.col("_w.start").alias("window_start"), "value")
@@ -165,7 +169,9 @@ NO_CATEGORY = "General / Conversational"
 
 
 def newest(chat_logs: DataFrame, n: int = ROLLING) -> DataFrame:
-    return chat_logs.orderBy(F.col("timestamp").desc(), F.col("message_id").desc()).limit(n)
+    """The newest turns that reached an answer; blocked ones never enter the live buffer."""
+    blocked = F.coalesce("prompt_injection_flag", F.lit(False)) | F.coalesce("vulgar_flag", F.lit(False))
+    return chat_logs.where(~blocked).orderBy(F.col("timestamp").desc(), F.col("message_id").desc()).limit(n)
 
 
 def _picked(values: Column, pct: int) -> Column:

@@ -4,10 +4,10 @@ Rejected requests are not recorded, so a request's fate depends on earlier
 decisions. The state is the times of at most N accepted requests.
 
 Batch form: quiet gaps of a full window reset the state, so every session is
-cut there and the pieces are independent. Each piece is read once, in order,
-as Arrow batches with bounded memory; within a batch the next acceptable
-request is found by binary search, so a flood of rejected requests costs no
-per-row work.
+cut there and the pieces are independent. Only the distinct times of a piece
+are read in order, as Arrow batches with bounded memory; within a batch the next
+acceptable time is found by binary search, so a flood of rejected requests costs
+no per-row work.
 """
 from __future__ import annotations
 
@@ -18,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.functions.kernels import event_time
-from parley.functions.segments import Previous, TotalBefore, busy_keys, hour_segment, with_state
+from parley.functions.segments import Previous, TotalBefore, minute_segment, with_state
 
 # The functions that run in tasks travel whole, so executors do not need this
 # package on their path.
@@ -54,26 +54,32 @@ class _Limiter:
         return allowed
 
 
-def _pieces(requests: DataFrame, window: int) -> DataFrame:
-    """Numbers the stretches of each session between quiet gaps."""
-    order = ["timestamp", "request_id"]
-    us = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    busy = busy_keys(requests, "session_id")
-    gaps = with_state(requests.withColumn("_us", us), "session_id", order, hour_segment(),
-                      {"_before": Previous(F.col("_us"))}, busy)
+def _times(requests: DataFrame, window: int, most: int) -> DataFrame:
+    """Distinct times of each session with their requests (``most`` at the most
+    matter), numbered by the stretches between quiet gaps."""
+    times = requests.groupBy("session_id", "_us").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("_n"))
+    segment = F.floor(F.col("_us") / 60_000_000)
+    gaps = with_state(times, "session_id", ["_us"], segment, {"_before": Previous(F.col("_us"))})
     fresh = F.coalesce(F.col("_us") - F.col("_before") >= window * 1_000_000, F.lit(False)).cast("int")
-    marked = gaps.withColumn("_fresh", fresh).drop("_before")
-    counted = with_state(marked, "session_id", order, hour_segment(), {"_piece": TotalBefore(F.col("_fresh"))}, busy)
+    counted = with_state(gaps.withColumn("_fresh", fresh).drop("_before"), "session_id", ["_us"], segment,
+                         {"_piece": TotalBefore(F.col("_fresh"))})
     return counted.withColumn("_piece", F.col("_piece") + F.col("_fresh")).drop("_fresh")
 
 
 def rate_limit(requests: DataFrame, *, max_requests: int = MAX_REQUESTS,
                window_seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """``requests`` (session_id, request_id, timestamp) with ``allowed``."""
-    pieces = _pieces(requests.select("session_id", "request_id", "timestamp"), window_seconds)
-    ordered = (pieces.select("session_id", "request_id", "timestamp", "_us", "_piece")
-               .repartition("session_id", "_piece")
-               .sortWithinPartitions("session_id", "_piece", "_us", "request_id"))
+    """``requests`` (session_id, request_id, timestamp) with ``allowed``.
+
+    The ordered pass sees distinct times and counts only, under a number for the
+    session, and passes on times with accepted requests, ``max_requests`` in a
+    window at most. Of the requests of one time, those with the smallest ids are
+    accepted.
+    """
+    us = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    rows = requests.select("session_id", "request_id", "timestamp", us.alias("_us"))
+    pieces = _times(rows, window_seconds, max_requests)
+    ordered = (pieces.select("session_id", "_piece", "_us", "_n").repartition("session_id", "_piece")
+               .sortWithinPartitions("session_id", "_piece", "_us"))
     window_us = window_seconds * 1_000_000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,18 +88,24 @@ def rate_limit(requests: DataFrame, *, max_requests: int = MAX_REQUESTS,
             names, numbers = pdf["session_id"].to_numpy(), pdf["_piece"].to_numpy()
             cuts = np.flatnonzero((names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])) + 1
             bounds = [0, *cuts.tolist(), len(pdf)]
-            times, allowed = pdf["_us"].to_numpy(), np.zeros(len(pdf), dtype=bool)
+            times, counts, accepted = pdf["_us"].to_numpy(), pdf["_n"].to_numpy(), np.zeros(len(pdf), dtype=np.int64)
             for a, b in zip(bounds, bounds[1:]):
                 if a == b:
                     continue
                 if (names[a], numbers[a]) != key:
                     key, limiter = (names[a], numbers[a]), _Limiter(max_requests, window_us)
-                allowed[a:b] = limiter.decide(times[a:b])
-            yield pdf[["session_id", "request_id", "timestamp"]].assign(allowed=allowed)
-
-    fields = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
-    schema = ", ".join(f"{c} {fields[c]}" for c in ("session_id", "request_id", "timestamp")) + ", allowed boolean"
-    return ordered.mapInPandas(run, schema)
+                place = np.repeat(np.arange(a, b), counts[a:b])
+                accepted[a:b] = np.bincount(place[limiter.decide(times[place])] - a, minlength=b - a)
+            yield pdf[["session_id", "_us"]].assign(_accepted=accepted)[accepted > 0]
+
+    kind = ordered.schema["session_id"].dataType.simpleString()
+    accepted = ordered.mapInPandas(run, f"session_id {kind}, _us bigint, _accepted bigint")
+    place = F.row_number().over(Window.partitionBy("session_id", "_us").orderBy("request_id"))
+    ranked = rows.withColumn("_place", place)
+    same = [ranked["session_id"].eqNullSafe(accepted["session_id"]), ranked["_us"].eqNullSafe(accepted["_us"])]
+    return ranked.join(accepted, same, "left").select(
+        ranked["session_id"], "request_id", "timestamp",
+        F.coalesce(F.col("_place") <= F.col("_accepted"), F.lit(False)).alias("allowed"))
 
 
 def rate_limit_stream(requests: DataFrame, *, max_requests: int = MAX_REQUESTS, window_seconds: int = WINDOW_SECONDS,

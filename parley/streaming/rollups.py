@@ -48,3 +48,23 @@ def period_from_rollup(rollup: DataFrame) -> DataFrame:
     quantiles = [F.expr(f"kll_sketch_get_quantile_bigint(_latency, {p / 100}D)").alias(f"approx_p{p}_latency_ms")
                  for p in (50, 95)]
     return merged.select("*", *quantiles).drop("_latency")
+
+
+def checked_period(chat_logs: DataFrame, *, sessions_error: float = 0.05, rank_error: float = 0.02) -> DataFrame:
+    """The period from roll-ups, with each sketch replaced by whether it holds its bound.
+
+    ``sessions_within`` compares with the exact number of sessions; ``p50_within`` and
+    ``p95_within`` ask whether the share of latencies up to the estimate is within
+    ``rank_error`` of the rank asked for (ties may take it above).
+    """
+    rolled = period_from_rollup(daily_rollup(chat_logs))
+    exact = chat_logs.agg(F.count_distinct("session_id").alias("_sessions"), F.count("latency_ms").alias("_n"))
+    known = chat_logs.join(rolled.select("approx_p50_latency_ms", "approx_p95_latency_ms"), F.lit(True))
+    ranks = known.agg(*[F.count_if(F.col("latency_ms") < F.col(f"approx_p{p}_latency_ms")).alias(f"_below{p}") for p in (50, 95)],
+                      *[F.count_if(F.col("latency_ms") <= F.col(f"approx_p{p}_latency_ms")).alias(f"_upto{p}") for p in (50, 95)])
+    out = rolled.join(exact, F.lit(True)).join(ranks, F.lit(True))
+    within = [(F.abs(F.col("approx_sessions") - F.col("_sessions")) <= F.col("_sessions") * sessions_error).alias("sessions_within"),
+              *[((F.col(f"_below{p}") <= F.col("_n") * (p / 100 + rank_error)) & (F.col(f"_upto{p}") >= F.col("_n") * (p / 100 - rank_error)))
+                .alias(f"p{p}_within") for p in (50, 95)]]
+    plain = [c for c in rolled.columns if not c.startswith("approx_")]
+    return out.select(*plain, *within)

@@ -68,16 +68,3 @@ def test_history_column_gives_the_same_as_session_state(spark, tables):
 
 def test_turn_schema_covers_optional_measurements():
     assert {"latency_ms", "ttft_ms", "intent_text", "target_text"} <= set(TURN.fieldNames())
-
-
-def test_large_sessions_take_the_segmented_path_with_the_same_result(spark, tables, monkeypatch):
-    from parley.functions.segments import busy_keys
-    from parley.sources import inputs
-    raw = inputs.raw_turns(tables)
-    plain = enrich.enrich_turns(raw).cache()
-    found = busy_keys(raw, "session_id", most=3)
-    assert found
-    monkeypatch.setattr(enrich, "busy_keys", lambda df, *keys: found)
-    cut = enrich.enrich_turns(raw)
-    assert "_seg" in cut._jdf.queryExecution().toString()
-    assert cut.exceptAll(plain).count() == 0 and cut.count() == plain.count()

@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_sql_belongs_to_a_query():
     assert not set(SQL) - set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"rollup_period"}
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_has_rows(spark):

@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from parley.functions import segments
 from parley.streaming.ratelimit import rate_limit, rate_limit_stream
 
 T0 = datetime(2024, 1, 1)
@@ -36,12 +35,10 @@ def test_batch_equals_brute_force(spark, seed, most, window):
     assert {r.request_id: r.allowed for r in got} == brute(rows, most, window)
 
 
-def test_a_busy_session_is_cut_into_segments(spark, monkeypatch):
-    rows = flood(5)
-    plain = segments.busy_keys
-    monkeypatch.setattr("parley.streaming.ratelimit.busy_keys", lambda df, key: plain(df, key, most=50))
-    got = rate_limit(spark.createDataFrame(rows, SCHEMA), max_requests=4, window_seconds=60).collect()
-    assert {r.request_id: r.allowed for r in got} == brute(rows, 4, 60)
+def test_equal_times_and_ids_decide_by_id(spark):
+    rows = [("s", i, T0) for i in range(50)] + [(None, 100 + i, T0) for i in range(3)]
+    got = rate_limit(spark.createDataFrame(rows, SCHEMA), max_requests=2, window_seconds=60).collect()
+    assert sorted(r.request_id for r in got if r.allowed) == [0, 1, 100, 101] and len(got) == 53
 
 
 def test_limit_bounds(spark):

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parley.functions.segments import LastKnown, Previous, TotalBefore, block_segment, busy_keys, with_state
+from parley.functions.segments import LastKnown, Previous, TotalBefore, block_segment, with_state
 
 
 @pytest.fixture(scope="module")
@@ -24,19 +24,24 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [0, 100, 10_000])
-def test_state_is_the_same_for_plain_and_segmented_keys(spark, rows, most):
+@pytest.mark.parametrize("size,coarser", [(1, ()), (7, (3,)), (2, (4, 5)), (1000, (2,))])
+def test_state_equals_plain_fold(spark, rows, size, coarser):
     df = spark.createDataFrame(rows, "key string, at int, v int")
-    busy = busy_keys(df, "key", most=most)
-    assert (("hot",) in busy) == (most < 300)
     v = F.col("v")
-    got = with_state(df, "key", ["at"], block_segment("at", 7), {
-        "p": Previous(v), "k": LastKnown(v), "t": TotalBefore(v)}, busy).collect()
+    got = with_state(df, "key", ["at"], block_segment("at", size), {
+        "p": Previous(v), "k": LastKnown(v), "t": TotalBefore(v)}, coarser).collect()
     assert {(r.key, r["at"]): (r.p, r.k, r.t) for r in got} == expected(rows)
 
 
-def test_large_key_meets_only_as_summaries(spark, rows):
+def test_rows_without_a_key_form_one_key(spark):
+    df = spark.createDataFrame([(None, k, k) for k in range(9)], "key string, at int, v int")
+    got = with_state(df, "key", ["at"], block_segment("at", 2), {"t": TotalBefore(F.col("v"))}, (2,)).collect()
+    assert {r["at"]: r.t for r in got} == {k: sum(range(k)) for k in range(9)}
+
+
+def test_no_window_orders_a_whole_key_of_rows(spark, rows):
     df = spark.createDataFrame(rows, "key string, at int, v int")
-    out = with_state(df, "key", ["at"], block_segment("at", 7), {"t": TotalBefore(F.col("v"))}, [("hot",)])
-    plan = out._jdf.queryExecution().toString()
-    assert "_seg" in plan and "LeftAnti" in plan
+    out = with_state(df, "key", ["at"], block_segment("at", 7), {"t": TotalBefore(F.col("v"))})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window " in x or "Window[" in x]
+    assert windows and all("at#" not in x.split("], [")[-1] or "_seg" in x for x in windows if "[key#" in x)

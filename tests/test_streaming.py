@@ -137,3 +137,14 @@ def test_frustration_is_left_to_the_batch(spark, tables):
     logs = enrich.enrich_turns(inputs.raw_turns(tables))
     assert logs.where("frustration_signal").count() > 0
     assert AS_OF == datetime(2024, 1, 31)
+
+
+def test_percentiles_of_fractions_keep_their_decimals(spark):
+    rows = [(datetime(2024, 1, 1, 0, 0, k), "s", (400 + k) / 1000) for k in range(50)]
+    got = alerts.chart(spark.createDataFrame(rows, "timestamp timestamp_ntz, series string, value double"), "memory_p95").collect()
+    assert [r.value for r in got] == [0.447]
+
+
+def test_blocked_turns_are_not_in_the_rolling_cut(spark, tables):
+    newest = alerts.newest(tables["chat_logs"]).collect()
+    assert newest and not any(r.prompt_injection_flag or r.vulgar_flag for r in newest)
