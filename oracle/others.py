@@ -50,14 +50,14 @@ put("upsert_documents", """WITH inc AS (SELECT CAST(vec_id * 3 AS VARCHAR) AS id
  CASE WHEN old.id IS NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS created_at
  FROM old FULL OUTER JOIN one ON old.id = one.id""")
 put("not_yet_ingested", """SELECT 'product' AS doc_type, CAST(id AS VARCHAR) AS source_id FROM products
- WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)""")
+ WHERE id NOT IN (SELECT l_partkey * 2 FROM lineitem)""")
 put("load_reviews", f"""WITH s AS (SELECT p.id AS product_id, v.sku, coalesce(stars, 3) AS stars, title, body, author,
  CASE WHEN length(date) = 10 THEN CAST(date AS DATE) END AS review_date, coalesce(verified, false) AS verified, {RO}
  FROM raw_reviews v JOIN products p ON p.sku = v.sku),
  m AS (SELECT *, (author IS NOT NULL AND review_date IS NOT NULL AND title IS NOT NULL) AS whole FROM s),
  f AS (SELECT *, row_number() OVER (PARTITION BY whole, product_id, author, review_date, title ORDER BY {RO}) AS rn FROM m)
  SELECT product_id, sku, stars, title, body, author, review_date, verified FROM f
- WHERE NOT whole OR (rn = 1 AND NOT EXISTS (SELECT 1 FROM product_reviews e WHERE NOT e.verified AND e.product_id = f.product_id
+ WHERE NOT whole OR (rn = 1 AND NOT EXISTS (SELECT 1 FROM product_reviews e WHERE e.product_id = f.product_id
  AND e.author = f.author AND e.review_date = f.review_date AND e.title = f.title))""")
 put("metadata_filter", "SELECT doc_type, source_id FROM kb WHERE category ILIKE '%garden%' AND price <= 905")
 
@@ -84,7 +84,7 @@ def _stages(prefix: str, k: int, scored: bool) -> None:
     if scored:
         register(f"{prefix}ranked", f"""
 select * from (select *, row_number() over (partition by query_id order by score desc nulls last, hybrid_rank) as rk,
-  length(query_id) < 40 as used from (select *, case when length(query_id) < 40 then (vec_id * 7919) % 1009 end as score
+  md5(query_id) < '8' as used from (select *, case when md5(query_id) < '8' then (vec_id * 7919) % 1009 end as score
   from cand where hybrid_rank <= {k})) where not used or rk <= 16""")
     else:
         register(f"{prefix}ranked", f"select *, hybrid_rank as rk, false as used from cand where hybrid_rank <= {k}")
@@ -142,7 +142,7 @@ put("apply_product_changes", """WITH RECURSIVE n AS (SELECT id, max(pos) AS last
   FROM st JOIN change_feed f ON f.id = st.id AND f.pos = st.pos + 1)
  SELECT st.id, sku, price FROM st LEFT JOIN n ON n.id = st.id WHERE st.pos = coalesce(n.last, 0) AND there""")
 put("product_bulk_load", f"""SELECT sku, author AS name, body FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY {RO}, body) AS n
- FROM raw_reviews) WHERE n = 1 AND sku NOT IN (SELECT sku FROM products WHERE is_featured)""")
+ FROM raw_reviews) WHERE n = 1 AND sku NOT IN (SELECT 'SKU-' || (id * 3) FROM products)""")
 put("product_image_fill", """SELECT p.sku, CASE WHEN p.is_featured THEN 'old' ELSE i.image_url END AS image_url FROM products p
  LEFT JOIN (SELECT sku, min('img/' || author) AS image_url FROM raw_reviews GROUP BY sku) i ON i.sku = p.sku""")
 put("featured_products", "SELECT * FROM products WHERE is_featured ORDER BY sku LIMIT 8")
@@ -199,9 +199,9 @@ CART = """WITH RECURSIVE st AS (SELECT DISTINCT cart, item, 0 AS n, CAST(NULL AS
  fin AS (SELECT cart, item, quantity, price FROM (SELECT *, row_number() OVER (PARTITION BY cart, item ORDER BY n DESC) AS z FROM st) WHERE z = 1 AND quantity IS NOT NULL)"""
 put("cart_contents", f"{CART} SELECT cart, item, quantity, price FROM fin")
 put("cart_totals", f"{CART} SELECT cart, count(*) AS items, CAST(sum(price * quantity) AS DECIMAL(18,2)) AS total FROM fin GROUP BY cart")
-put("user_registration", """SELECT email, full_name, c_custkey FROM (SELECT 'u' || (c_custkey // 2) || '@example.com' AS email, c_name AS full_name,
+put("user_registration", """SELECT email, full_name, c_custkey FROM (SELECT 'u' || (c_custkey // 2 * 3) || '@example.com' AS email, c_name AS full_name,
  c_custkey, row_number() OVER (PARTITION BY c_custkey // 2 ORDER BY c_custkey) AS n FROM customer)
- WHERE n = 1 AND email NOT IN (SELECT email FROM users WHERE is_active)""")
+ WHERE n = 1 AND email NOT IN (SELECT email FROM users)""")
 
 # --- sources -----------------------------------------------------------------------
 put("feedback_rows", """SELECT message_id, session_id, timestamp, embed_ms % 4 - 1 AS rating, user_message, '' AS assistant_response,

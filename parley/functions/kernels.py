@@ -117,9 +117,9 @@ def label(c: str, default: str) -> Column:
 
 
 def with_share(grouped: DataFrame, count: str, out: str, places: int = 2) -> DataFrame:
-    """``grouped`` with each group's share of the total count. The total is a
-    scalar subquery over the same aggregate, so no task holds all groups."""
-    total = grouped.select(F.sum(count)).scalar()
+    """``grouped`` with each group's share of the total count. The total is a sum
+    over the groups, of which a report has a handful, so the fact is read once."""
+    total = F.sum(count).over(Window.partitionBy())
     return grouped.withColumn(out, rounded(ratio(F.col(count) * F.lit(HUNDRED), total), places))
 
 

@@ -141,8 +141,7 @@ def _context_lines(t) -> DataFrame:
 
 
 def _loaded(t) -> DataFrame:
-    existing = t["product_reviews"].where("verified = false")
-    return documents.load_reviews(existing, inputs.raw_reviews(t), t["products"], *inputs.REVIEW_ORDER)
+    return documents.load_reviews(t["product_reviews"], inputs.raw_reviews(t), t["products"], *inputs.REVIEW_ORDER)
 
 
 def _upserted(t) -> DataFrame:
@@ -151,10 +150,9 @@ def _upserted(t) -> DataFrame:
 
 
 def _new_products(t) -> DataFrame:
-    """Parts that are sold, against the parts stored as pending products."""
+    """Products whose documents aren't stored; stored are those under twice the number of a sold part."""
     docs = documents.product_documents(t["products"])
-    sold = t["lineitem"].where("l_quantity > 49").select(
-        F.lit("product").alias("doc_type"), F.col("l_partkey").cast("string").alias("source_id"))
+    sold = t["lineitem"].select(F.lit("product").alias("doc_type"), (F.col("l_partkey") * 2).cast("string").alias("source_id"))
     return documents.not_yet_ingested(docs, sold.distinct()).select("doc_type", "source_id")
 
 
@@ -194,7 +192,7 @@ def _changed(t) -> DataFrame:
 
 def _bulk_load(t) -> DataFrame:
     incoming = inputs.raw_reviews(t).select("sku", F.col("author").alias("name"), *inputs.REVIEW_ORDER, "body")
-    existing = t["products"].where("is_featured").select("sku")
+    existing = t["products"].select(F.concat(F.lit("SKU-"), F.col("id") * 3).alias("sku"))
     return catalog.load_new_products(existing, incoming, *inputs.REVIEW_ORDER, "body").select("sku", "name", "body")
 
 

@@ -12,6 +12,7 @@ no per-row work.
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -110,26 +111,42 @@ def rate_limit(requests: DataFrame, *, max_requests: int = MAX_REQUESTS,
 
 def rate_limit_stream(requests: DataFrame, *, max_requests: int = MAX_REQUESTS, window_seconds: int = WINDOW_SECONDS,
                       delay: str = "10 minutes") -> DataFrame:
-    """The same on a stream; the state of a session is dropped once the
-    watermark is a full window past its last accepted request."""
+    """The same on a stream, in the order of events.
+
+    A request waits in the state of its session until the watermark has passed it,
+    so one that comes late (within ``delay``) is decided where it belongs and the
+    result equals the batch form. The state holds the accepted times of a window and
+    the requests of one delay; it goes once nothing of it can matter any more.
+    """
     window_us = window_seconds * 1_000_000
     requests = event_time(requests.select("session_id", "request_id", "timestamp"), delay)
     fields = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     out = ", ".join(f"{c} {fields[c]}" for c in ("session_id", "request_id", "timestamp")) + ", allowed boolean"
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        accepted, times, ids = state.get if state.exists else ([], [], [])
+        waiting = list(zip(times, ids))
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                us = pdf["timestamp"].astype("datetime64[us]").astype("int64")
+                waiting += zip(us.tolist(), pdf["request_id"].tolist())
+        waiting.sort()
+        limiter, passed = _Limiter(max_requests, window_us, accepted), state.getCurrentWatermarkMs() * 1000
+        n = bisect_left(waiting, (passed,))
+        ready, waiting = waiting[:n], waiting[n:]
+        us = np.array([t for t, _ in ready], dtype=np.int64)
+        allowed = limiter.decide(us)
+        accepted = list(limiter.accepted)
+        if waiting or (accepted and accepted[-1] + window_us > passed):
+            state.update((accepted, [t for t, _ in waiting], [i for _, i in waiting]))
+            next_us = waiting[0][0] if waiting else accepted[-1] + window_us
+            state.setTimeoutTimestamp(max(next_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            return
-        limiter = _Limiter(max_requests, window_us, state.get[0] if state.exists else ())
-        rows = pd.concat(list(pdfs)).sort_values(["timestamp", "request_id"], ignore_index=True)
-        times = rows["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
-        allowed = limiter.decide(times)
-        state.update((list(limiter.accepted),))
-        if limiter.accepted:
-            ends_ms = (limiter.accepted[-1] + window_us) // 1000 + 1
-            state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows[["session_id", "request_id", "timestamp"]].assign(allowed=allowed)
+        if ready:
+            yield pd.DataFrame({"session_id": key[0], "request_id": [i for _, i in ready],
+                                "timestamp": us.astype("datetime64[us]"), "allowed": allowed})
 
+    held = f"accepted array<bigint>, times array<bigint>, ids array<{fields['request_id']}>"
     return (requests.groupBy("session_id")
-            .applyInPandasWithState(step, out, "accepted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout))

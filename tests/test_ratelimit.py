@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -47,16 +48,22 @@ def test_limit_bounds(spark):
     assert all(got[i] for i in range(30)) and not got[30] and got[99]  # exactly one window later is free again
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_equals_batch_with_late_rows(spark, tmp_path):
+    """Rows come shuffled by less than the delay; far later rows move the watermark past them."""
+    rng = random.Random(6)
     rows = flood(6, 400)
-    source, n = tmp_path / "in", 4
-    for part in range(n):
-        chunk = [r for r in rows if r[1] * n // 400 == part]
+    arrival = sorted(rows, key=lambda r: r[2] + timedelta(seconds=rng.uniform(0, 300)))
+    end = max(r[2] for r in rows) + timedelta(days=1)
+    chunks = [arrival[k * 100:(k + 1) * 100] for k in range(4)]
+    chunks += [[("end", 10 ** 6 + k, end + timedelta(days=k))] for k in range(3)]
+    source = tmp_path / "in"
+    for k, chunk in enumerate(chunks):
         spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        time.sleep(0.05)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
-    query = (rate_limit_stream(stream, max_requests=5, window_seconds=60, delay="30 days").writeStream.format("memory")
+    query = (rate_limit_stream(stream, max_requests=5, window_seconds=60, delay="10 minutes").writeStream.format("memory")
              .queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    got = {r.request_id: r.allowed for r in spark.table("limited").collect()}
+    got = {r.request_id: r.allowed for r in spark.table("limited").collect() if r.session_id != "end"}
     assert got == brute(rows, 5, 60)
