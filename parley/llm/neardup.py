@@ -8,11 +8,12 @@ numbers. From there on only these travel:
 2. Classes that share a band are candidates. Their similarity is estimated by
    counting equal low bits, corrected for bits that are equal by chance; pairs far
    below the limit go. The rest are confirmed on the full sets of both texts.
-3. A bucket of a band is never expanded into all pairs at once. In each round every
-   bucket that still holds several components tests its members against one of
-   them; what links joins its component. Once the pairs between different
-   components are few (in proportion to the members), they are all tested. No pair
-   of a bucket is left out unless both are in one component already.
+3. A group of copies is never expanded into all pairs. In each round every bucket
+   that still holds several components tests its members against one of them; what
+   links joins its component. Once a round no longer halves the pairs between
+   different components, or they are few, these remaining pairs are compared inside
+   a join by their packed bits, and those near the limit confirmed. No pair of a
+   bucket is left out unless both are in one component already.
 4. Components come from repeated hooking to the smallest neighbour.
 
 With 32 bands of 5 minima, a pair with a similarity of 0.8 misses all bands with a
@@ -38,8 +39,9 @@ BITS = 2                        # low bits retained of each minimum
 PACKED = BANDS * ROWS * BITS // 64
 WORDS = 2                       # in a shingle, by the contract of the query
 LIMIT = 80                      # per cent
-MARGIN = 25                     # per cent: estimates this far below the limit are not confirmed
+MARGIN = 18                     # per cent: estimates this far below the limit are not confirmed
 FEW = 4                         # open pairs for a member of a bucket that are tested all at once
+REMEMBERED = 1 << 22            # hashes of sets that a task keeps at hand while it confirms pairs
 NO_ID = -(2 ** 63)
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SIGNATURE = [f"s{k}" for k in range(PACKED)]
@@ -138,6 +140,12 @@ def estimate(a: str, b: str) -> Column:
     return (1 - unequal / (BANDS * ROWS) - chance) / (1 - chance) * 100
 
 
+def may_link(a: str, b: str, limit: int) -> Column:
+    """Whether the sizes of both sets and the estimate leave a link possible."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * limit) & (estimate(a, b) >= limit - MARGIN)
+
+
 def smallest_labels(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): the smallest node that can be reached."""
     links = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
@@ -174,16 +182,26 @@ def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, limit: int) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of ``limit`` per cent or more."""
     def work(batches):
-        known, last = Hashes(), (None, None)
-        for b in slices(batches):
-            ids, left, right = b.column("a").to_pylist(), b.column("text_a"), b.column("text_b")
+        known, sets = Hashes(), {}  # sets of a task's last texts, of REMEMBERED hashes in all
+        room = REMEMBERED
+
+        def set_of(node, data):
+            nonlocal room
+            found = sets.get(node)
+            if found is None:
+                if room < 0:
+                    sets.clear()
+                    room = REMEMBERED
+                found = sets[node] = shingles(zlib.decompress(data.as_py()).decode(), words, known)
+                room -= len(found)
+            return found
+
+        for b in batches:
             keep = []
-            for k, a in enumerate(ids):
-                if last[0] != a:
-                    last = (a, shingles(zlib.decompress(left[k].as_py()).decode(), words, known))
-                other = shingles(zlib.decompress(right[k].as_py()).decode(), words, known)
-                common = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(100 * common >= limit * (len(last[1]) + len(other) - common))
+            for k, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist())):
+                p, q = set_of(x, b.column("text_a")[k]), set_of(y, b.column("text_b")[k])
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(100 * common >= limit * (len(p) + len(q) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # the side with few texts for many pairs comes last, so pairs arrive sorted by it
@@ -198,7 +216,7 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
     shared = ids.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = kept(ids.join(shared, "band"))
     signatures = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select(
-        "node", "text_key", F.struct(*SIGNATURE).alias("s")))
+        "node", "text_key", F.struct("n", *SIGNATURE).alias("s")))
     texts = kept(texts_of(docs, signatures))
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     tested, labels, turn, before = links, None, 0, None
@@ -209,7 +227,7 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         for side in ("a", "b"):
             pairs = pairs.join(signatures.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}")), side)
-        return kept(pairs.where(estimate("s_a", "s_b") >= limit - MARGIN).select("a", "b"))
+        return kept(pairs.where(may_link("s_a", "s_b", limit)).select("a", "b"))
 
     while True:
         now = members if labels is None else members.join(labels, "node", "left")
@@ -222,13 +240,13 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
         size = buckets.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("open")).first()
         if not size.n:
             break
-        last = turn > 0 and (size.open <= FEW * size.n or size.open == before)
+        last = turn > 0 and (size.open <= FEW * size.n or 2 * size.open > before)
         before = size.open
         if last:  # all pairs of different components; the condition is checked inside the join
             open_members = now.join(buckets.select("band"), "band").join(signatures.select("node", "s"), "node")
             a, b = (open_members.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "s"))) for x in "ab")
             pairs = a.join(b, "band").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-                                            & (estimate("s_a", "s_b") >= limit - MARGIN))
+                                            & may_link("s_a", "s_b", limit))
             pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         else:
             pairs = now.join(buckets.select("band", "lead", "lead_label"), "band").where("label <> lead_label")
@@ -248,7 +266,7 @@ def grouped(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFram
     rows = kept(sketched(docs, words))
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(
         F.min("id").alias("node"), F.min_by("text_key", "id").alias("text_key"), F.first("bands").alias("bands"),
-        *(F.first(s).alias(s) for s in SIGNATURE))
+        F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SIGNATURE))
     classes = kept(classes)
     labels = linked(docs, classes, words, limit)
     of_class = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))
