@@ -160,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
     return fitted(*training_rows(docs, labels))
 
 
-def scored(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row and ``score``."""
+def _scored(docs: DataFrame, trees: Trees, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns of every row, under numbers so that no name clashes, and ``score``."""
     own = [F.col(c).alias(f"_c{k}") for k, c in enumerate(keep)]
 
     def score(batches):
@@ -172,13 +172,18 @@ def scored(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -
 
     rows = docs.select(*own, text_of().alias("_text"))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
-    return rows.mapInArrow(score, schema).withColumnsRenamed({f"_c{k}": c for k, c in enumerate(keep)})
+    return rows.mapInArrow(score, schema)
+
+
+def scored(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns of every row and ``score``."""
+    return _scored(docs, trees, keep).withColumnsRenamed({f"_c{k}": c for k, c in enumerate(keep)})
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the classifier accepts, with their own columns."""
-    made = scored(docs, train(docs, labels), tuple(docs.columns))
-    return made.where(F.col("score") >= ACCEPT).select(*docs.columns)
+    made = _scored(docs, train(docs, labels), tuple(docs.columns)).where(F.col("score") >= ACCEPT)
+    return made.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir):
