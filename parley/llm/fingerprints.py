@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import kept, text_of
+from parley.llm.common import text_of, written
 
 PIECE = 512         # code points in a paragraph at most
 CELLS = 12          # cells of a fingerprint and of a section of a larger sketch
@@ -201,13 +201,13 @@ def successors(keys: DataFrame) -> DataFrame:
     the smallest of the next group that isn't empty, found in the same way one
     level up, so no task orders all of them.
     """
-    keys = kept(keys)
+    keys = written(keys)
     low, high = keys.agg(F.min("key"), F.max("key")).first()
     if low is None:
         return keys.withColumn("next", F.col("key"))
     levels = []
     while low != high:
-        groups = keys.groupBy(F.shiftright("key", LEVEL).alias("above")).agg(F.min("key").alias("least"))
+        groups = written(keys.groupBy(F.shiftright("key", LEVEL).alias("above")).agg(F.min("key").alias("least")))
         levels.append((keys, groups))
         keys = groups.select(F.col("above").alias("key"))
         low, high = low >> LEVEL, high >> LEVEL
@@ -217,7 +217,7 @@ def successors(keys: DataFrame) -> DataFrame:
         rows = keys.select("key", F.shiftright("key", LEVEL).alias("above")).withColumn("_next", F.lead("key").over(within))
         after = found.select(F.col("key").alias("above"), "next").join(
             groups.select(F.col("above").alias("next"), "least"), "next").select("above", "least")
-        found = kept(rows.join(after, "above").select("key", F.coalesce("_next", "least").alias("next")))
+        found = written(rows.join(after, "above").select("key", F.coalesce("_next", "least").alias("next")))
     return found
 
 
@@ -231,7 +231,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"), order.alias("_order"), F.xxhash64(text_of()).alias("_tie"),
                        F.shiftright(order, BUCKET).alias("_bucket"))
     heads = rows.groupBy("_bucket").agg(F.min(F.struct("_order", "_tie")).alias("_first"))
-    heads = kept(heads.select("_bucket", "_first.*"))
+    heads = written(heads.select("_bucket", "_first.*"))
     chain = successors(heads.select(F.col("_bucket").alias("key")))
     # the first text of every group, named by the group before it
     first = rows.join(heads, ["_bucket", "_order", "_tie"], "left_semi").dropDuplicates(["_bucket"])

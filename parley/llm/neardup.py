@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import LOWER_BYTES, kept, slices, text_of
+from parley.llm.common import LOWER_BYTES, slices, text_of, written
 
 BANDS, ROWS = 32, 5
 BITS = 2                        # low bits retained of each minimum
@@ -148,23 +148,23 @@ def may_link(a: str, b: str, limit: int) -> Column:
 
 def smallest_labels(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): the smallest node that can be reached."""
-    links = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = kept(nodes.withColumn("label", F.col("node")))
+    labels = written(nodes.withColumn("label", F.col("node")))
     while not links.isEmpty():
         # every node hooks to its smallest neighbour; paths are doubled until they end at a root
-        up = kept(links.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to")).withColumn("moved", F.lit(True)))
+        up = written(links.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to")).withColumn("moved", F.lit(True)))
         while not up.where("moved").isEmpty():
             again = up.select(F.col("root").alias("to"), F.col("to").alias("further"))
-            up = kept(up.join(again, "to", "left").select(
+            up = written(up.join(again, "to", "left").select(
                 "root", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
         up = up.select("root", "to")
-        labels = kept(labels.join(up.withColumnRenamed("root", "label"), "label", "left").select(
+        labels = written(labels.join(up.withColumnRenamed("root", "label"), "label", "left").select(
             "node", F.coalesce("to", "label").alias("label")))
         for side in ("a", "b"):
             links = links.join(up.withColumnRenamed("root", side), side, "left").withColumn(
                 side, F.coalesce("to", side)).drop("to")
-        links = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     return labels
 
 
@@ -216,10 +216,10 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
     """Labels (node, label) of the classes that are linked with others."""
     ids = classes.select("node", F.explode("bands").alias("band"))
     shared = ids.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = kept(ids.join(shared, "band"))
-    signatures = kept(classes.join(members.select("node").distinct(), "node", "left_semi").select(
+    members = written(ids.join(shared, "band"))
+    signatures = written(classes.join(members.select("node").distinct(), "node", "left_semi").select(
         "node", "text_key", F.struct("n", *SIGNATURE).alias("s")))
-    texts = kept(texts_of(docs, signatures))
+    texts = written(texts_of(docs, signatures))
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     tested, labels, turn, before = links, None, 0, None
 
@@ -229,7 +229,7 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         for side in ("a", "b"):
             pairs = pairs.join(signatures.select(F.col("node").alias(side), F.col("s").alias(f"s_{side}")), side)
-        return kept(pairs.where(may_link("s_a", "s_b", limit)).select("a", "b"))
+        return written(pairs.where(may_link("s_a", "s_b", limit)).select("a", "b"))
 
     while True:
         now = members if labels is None else members.join(labels, "node", "left")
@@ -238,7 +238,7 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
         buckets = parts.groupBy("band").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("labels"),
             F.max_by("lead", "n").alias("lead"), F.max_by("label", "n").alias("lead_label")).where("labels > 1")
-        buckets = kept(buckets)
+        buckets = written(buckets)
         size = buckets.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("open")).first()
         if not size.n:
             break
@@ -254,8 +254,8 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
             pairs = now.join(buckets.select("band", "lead", "lead_label"), "band").where("label <> lead_label")
             pairs = pairs.select(F.col("node").alias("a"), F.col("lead").alias("b"))
         pairs = near(pairs)
-        links = kept(links.union(confirmed(pairs, texts, words, limit)))
-        tested = kept(tested.union(pairs))
+        links = written(links.union(confirmed(pairs, texts, words, limit)))
+        tested = written(tested.union(pairs))
         labels = smallest_labels(links)
         turn += 1
         if last:
@@ -265,11 +265,11 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
 
 def grouped(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """Every row's id (NO_ID where missing), text key, n_shingles and component, the smallest id it is linked with."""
-    rows = kept(sketched(docs, words))
+    rows = written(sketched(docs, words))
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(
         F.min("id").alias("node"), F.min_by("text_key", "id").alias("text_key"), F.first("bands").alias("bands"),
         F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SIGNATURE))
-    classes = kept(classes)
+    classes = written(classes)
     labels = linked(docs, classes, words, limit)
     of_class = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))
     return rows.join(of_class, ["d1", "d2"], "left").select(
