@@ -185,13 +185,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Keeps the columns of ``docs``. Copies of one id that differ in size are told apart by size.
     """
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
-    times = taken_words(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    copies = F.round(F.col("_taken") / F.greatest(F.col("_size") * F.col("_rows"), F.lit(1))).cast("int")
-    left = docs.withColumn("_size", size)
-    joined = left.join(times, left["doc_id"].eqNullSafe(times["doc_id"]) & (left["_size"] == times["size"])).select(
-        *[left[c] for c in docs.columns], copies.alias("_copies"))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop(
-        "_copies", "_copy")
+    times = taken_words(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows")).select(
+        F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"),
+        F.round(F.col("_taken") / F.greatest(F.col("size") * F.col("_rows"), F.lit(1))).cast("int").alias("_mix_copies"))
+    left = docs.withColumn("_own_size", size)
+    joined = left.join(times.where("_mix_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_mix_id"))
+                       & (F.col("_own_size") == F.col("_mix_size")))
+    copies = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    return copies.drop("_own_size", "_mix_id", "_mix_size", "_mix_copies", "_mix_copy")
 
 
 def query(spark, sf_dir):
