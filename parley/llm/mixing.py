@@ -27,6 +27,8 @@ SHARD = 8192        # slots in an output shard
 GROUPS = 1024       # hashed groups of documents in a source
 STRETCH = 16384     # slots that one row is expanded to at once
 ROUNDS = 12         # rounds of a permutation
+UNIT = 1 << 20      # parts that a copy of a document is counted in
+PARTS = 64          # hashed parts of a source's documents of about one size
 SEED = 17
 
 
@@ -165,8 +167,8 @@ def mix(docs: DataFrame) -> DataFrame:
         "shard", "position", "place", "block", "doc_id", "row_id", "from_word", "words")
 
 
-def taken_words(docs: DataFrame) -> DataFrame:
-    """Every row's doc_id, size, source_size, target and ``taken``, the words that the mix takes from it.
+def taken_rows(docs: DataFrame) -> DataFrame:
+    """Rows with place, size, source_size, target and ``taken``, the words that the mix takes from them.
 
     Slots are counted by block before the join, so a block that is taken again
     is one row.
@@ -176,22 +178,49 @@ def taken_words(docs: DataFrame) -> DataFrame:
     taken = packed(rows).join(counts, ["place", "block"]).groupBy("row_id").agg(
         F.sum(F.col("words") * F.col("times")).alias("taken"))
     return rows.join(taken, "row_id", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+        "place", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def taken_words(docs: DataFrame) -> DataFrame:
+    """Every row's doc_id, size, source_size, target and ``taken``, the words that the mix takes from it."""
+    return taken_rows(docs).drop("place")
+
+
+def in_copies(rows: DataFrame) -> DataFrame:
+    """Rows of ``taken_rows`` that hold words, with ``copies``: taken words over words, in whole copies.
+
+    A source's documents stand in the order of their sizes, and what a document lacks of
+    a whole copy goes to the next one. So a document has its share of copies rounded up
+    or down, and what the source has too many or too few is about one long document.
+    """
+    share = F.floor(F.col("taken") * UNIT / F.col("size")).cast("bigint")
+    rows = kept(rows.where("size > 0").withColumn("_share", share).withColumn(
+        "_class", F.floor(F.log2("size") * 4)).withColumn("_part", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(PARTS))))
+    group = ["place", "_class", "_part"]
+    before = Window.partitionBy("place").orderBy("_class", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*group).agg(F.sum("_share").alias("_sum")).select(
+        *group, (F.coalesce(F.sum("_sum").over(before), F.lit(0)) + F.pmod(F.xxhash64(F.lit(SEED), "place"), F.lit(UNIT))).alias("_start"))
+    upto = Window.partitionBy(*group).orderBy("size", "doc_id", "taken").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_start") + F.col("_upto")
+    return rows.withColumn("_upto", F.sum("_share").over(upto)).join(starts, group).withColumn("copies", (
+        F.floor(end / UNIT) - F.floor((end - F.col("_share")) / UNIT)).cast("bigint")).drop(*group[1:], "_share", "_upto", "_start")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them: words taken over words, rounded to whole copies.
+    """The documents as often as the mix takes them, in whole copies that keep to the words taken from each source.
 
-    Keeps the columns of ``docs``. Copies of one id that differ in size are told apart by size.
+    Keeps the columns of ``docs``. Copies of one id that differ in size are told apart by
+    size; rows alike in both share their copies evenly, the rest by a hash of the text.
     """
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
-    times = taken_words(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows")).select(
-        F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"),
-        F.round(F.col("_taken") / F.greatest(F.col("size") * F.col("_rows"), F.lit(1))).cast("int").alias("_mix_copies"))
+    times = in_copies(taken_rows(docs)).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).select(
+        F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), (F.col("_copies") / F.col("_rows")).alias("_mix_copies"))
     left = docs.withColumn("_own_size", size)
     joined = left.join(times.where("_mix_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_mix_id"))
                        & (F.col("_own_size") == F.col("_mix_size")))
-    copies = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), text_of()), F.lit(UNIT)) / UNIT
+    joined = joined.withColumn("_mix_copies", F.floor("_mix_copies") + (drawn < F.col("_mix_copies") % 1).cast("int"))
+    copies = joined.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies"))))
     return copies.drop("_own_size", "_mix_id", "_mix_size", "_mix_copies", "_mix_copy")
 
 

@@ -121,6 +121,21 @@ def test_mixed_documents_keep_columns(docs):
     assert max(per.values()) <= 6 and set(per) <= {r.doc_id for r in docs.collect()}  # two equal rows, three times each
 
 
+def test_mixed_documents_meet_targets(spark):
+    """Long documents of a source with a share below a half stay in the mix, and words follow the targets."""
+    rng = random.Random(12)
+    sizes = {"a": [rng.randint(300, 900) for _ in range(400)], "b": [rng.randint(1, 400) for _ in range(300)], "c": [rng.randint(1, 50) for _ in range(200)]}
+    rows = [(s, " ".join(["word"] * n)) for s, of in sizes.items() for n in of]
+    df = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+    target = plain_targets({s: sum(of) for s, of in sizes.items()})
+    assert target["a"] < 0.5 * sum(sizes["a"])
+    words = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        words[r.source] += len(WORD.findall(r.text))
+    for s, of in sizes.items():
+        assert abs(words[s] - target[s]) <= 2 * max(of) + 3 * mixing.BLOCK, (s, words[s], target[s])
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
 def test_permutation_is_one_to_one(spark, size):
     df = spark.range(size).select(mixing.permuted(F.col("id"), F.lit(size), F.lit(9)).alias("x"))
