@@ -44,7 +44,7 @@ CARD = r"(?P<card>(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d))"
 PHONE = r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<!\d)\d{3}[-.]\d{3}[-.]\d{4}(?!\d))"
 NAME = r"\b(?P<title>%s)\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?)" % "|".join(t for g in TITLES.values() for t in g)
 ENTITY = re.compile("|".join((EMAIL, IP, CARD, PHONE, NAME)))
-HINT = re.compile(r"@|\d\d|\b(?:%s)\.? " % "|".join(t for g in TITLES.values() for t in g))
+HINT = re.compile(r"@|\d\d|\d\.\d|\b(?:%s)\.? " % "|".join(t for g in TITLES.values() for t in g))
 KINDS = ("email", "phone", "card", "ip", "name")
 DRAWN = ("email", "name")
 

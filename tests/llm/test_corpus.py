@@ -170,6 +170,13 @@ def test_surrogates_keep_type_format_and_identity(spark, docs, corpus, nothing):
     assert surrogates.pseudonymised(nothing).collect() == []
 
 
+@pytest.mark.parametrize("private", ["a@b.org", "8.8.8.8", "97.51.17.173", "4111 1111 1111 1111", "+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "Smith"])
+def test_each_pattern_alone_in_a_text(private):
+    before = "Mr " if private == "Smith" else "dns at "
+    made, counts = surrogates.replaced(f"{before}{private} now", b"k", {})
+    assert private not in made and sum(counts) == 1
+
+
 def test_numbers_have_distinct_surrogates():
     cards = [f"{k:016d}" for k in range(3000)]
     assert len({surrogates.card(b"k", c) for c in cards}) == len(cards)
