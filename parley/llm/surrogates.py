@@ -5,9 +5,10 @@ after a title. A surrogate follows from a key and the entity alone, so one entit
 gets one surrogate in all documents, however it is written, and nothing of it is
 kept. Numbers are permuted by a keyed Feistel network over their own digits, which
 never maps two to one; what it leaves at itself is mapped on. E-mail addresses and
-names are drawn, and may collide: the distinct entities of all documents are checked
-by Spark for surrogates that two of them share or that are an entity themselves;
-all but one of them draw again until none is left.
+the words of names are drawn, and may collide: the distinct addresses, family names
+and given names of all documents are checked by Spark for surrogates that two of
+them share or that are an entity themselves; all but one of them draw again until
+none is left. As no two words share a surrogate, no two whole names do.
 
 * Missing texts count as empty. Rows are independent of each other but for the check.
 * Formats stay: digits for digits, case and length in addresses, country codes,
@@ -42,11 +43,10 @@ EMAIL = r"(?P<email>[A-Za-z0-9._%+\-À-ɏ]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\
 IP = r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
 CARD = r"(?P<card>(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d))"
 PHONE = r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<!\d)\d{3}[-.]\d{3}[-.]\d{4}(?!\d))"
-NAME = r"\b(?P<title>%s)\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?)" % "|".join(t for g in TITLES.values() for t in g)
+NAME = r"\b(?P<title>%s)\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)*)" % "|".join(t for g in TITLES.values() for t in g)
 ENTITY = re.compile("|".join((EMAIL, IP, CARD, PHONE, NAME)))
 HINT = re.compile(r"@|\d\d|\d\.\d|\b(?:%s)\.? " % "|".join(t for g in TITLES.values() for t in g))
 KINDS = ("email", "phone", "card", "ip", "name")
-DRAWN = ("email", "name")
 
 
 def drawn(key: bytes, *parts) -> int:
@@ -119,54 +119,95 @@ def email(key: bytes, text: str, attempt: int) -> str:
     return "".join(out) + f"@mail{drawn(key, 'host', host, attempt) % 10 ** 6}.example.com"
 
 
-def name(key: bytes, text: str, gender: str, attempt: int) -> str:
-    """Given name by gender, then family name; each word has a surrogate of its own."""
-    words = text.split(" ")
-    script = "cyrillic" if re.search("[а-яА-Я]", text) else "latin"
-    return " ".join([*(given(key, w, script, gender) for w in words[:-1]), family(key, words[-1], script, attempt)])
+def script_of(word: str) -> str:
+    return "cyrillic" if re.search("[а-яА-Я]", word) else "latin"
 
 
-def given(key: bytes, word: str, script: str, gender: str) -> str:
+def syllables(n: int, script: str, count: int) -> str:
+    out = ""
+    for _ in range(count):
+        n, k = divmod(n, len(SYLLABLES[script]))
+        out += SYLLABLES[script][k]
+    return out
+
+
+def given(key: bytes, word: str, gender: str, attempt: int) -> str:
+    """A given name by gender, from the second attempt on with a syllable more before it each time."""
+    script = script_of(word)
     pool = GIVEN[script, gender] if gender else GIVEN[script, "m"] + GIVEN[script, "f"]
-    return pool[drawn(key, "given", word.lower()) % len(pool)]
+    out = pool[drawn(key, "given", word.lower(), *[attempt] * (attempt > 0)) % len(pool)]
+    if attempt:
+        out = (syllables(drawn(key, "before", word.lower(), attempt), script, attempt) + out.lower()).capitalize()
+    return out.upper() if word.isupper() else out
 
 
-def family(key: bytes, word: str, script: str, attempt: int) -> str:
-    n, out = drawn(key, "family", word.lower(), attempt), ""
-    for _ in range(5):
-        n, k = divmod(n, len(SYLLABLES[script]))
-        out += SYLLABLES[script][k]
+def family(key: bytes, word: str, attempt: int) -> str:
+    out = syllables(drawn(key, "family", word.lower(), attempt), script_of(word), 5)
     return out.upper() if word.isupper() else out.capitalize()
 
 
-def canonical(kind: str, text: str) -> str:
-    """What an entity is known by: e-mail addresses in lower case, names by the family name."""
-    return text.lower() if kind == "email" else text.split(" ")[-1].lower()
+def known_by(kind: str, word: str, gender: str = "") -> str:
+    """What a drawn entity is known by: lower case, given names with the gender before them."""
+    return f"{gender}:{word.lower()}" if kind == "given" else word.lower()
 
 
 def gender_of(title: str) -> str:
     return next(g for g, titles in TITLES.items() if title in titles)
 
 
-def found(text: str) -> list[tuple[str, str, int, int, str]]:
-    """(kind, entity, start, end, gender) of the entities of a text, in order."""
+def name_parts(name: str, gender: str) -> list[tuple[str, str, str]]:
+    """(kind, word, gender) of the words of a name: given names, then the family name."""
+    *before, last = name.split(" ")
+    return [*(("given", w, gender) for w in before), ("family", last, "")]
+
+
+def found(text: str) -> list[tuple[str, str, int, int, list[tuple[str, str, str]]]]:
+    """(kind, entity, start, end, drawn parts) of the entities of a text, in order."""
     if not HINT.search(text):
         return []
-    made = []
+    made, names = [], {}
     for m in ENTITY.finditer(text):
         kind = "name" if m.lastgroup in ("name", "title") else m.lastgroup
-        made.append((kind, m[kind], *m.span(kind), gender_of(m["title"]) if kind == "name" else ""))
-    families = {e.split(" ")[-1]: g for k, e, _, _, g in made if k == "name"}
-    for word, g in families.items():  # the same person without a title
-        for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", text):
-            if not any(s < m.end() and e > m.start() for _, _, s, e, _ in made):
-                made.append(("name", word, *m.span(), g))
+        parts = [("email", m[kind], "")] if kind == "email" else []
+        if kind == "name":
+            parts = names[m[kind]] = name_parts(m[kind], gender_of(m["title"]))
+        made.append((kind, m[kind], *m.span(kind), parts))
+    if names:
+        made += later_mentions(text, names, made)
     return sorted(made, key=lambda x: x[2])
 
 
-def surrogate(key: bytes, kind: str, entity: str, gender: str, attempt: int = 0) -> str:
-    if kind in DRAWN:
-        return email(key, entity, attempt) if kind == "email" else name(key, entity, gender, attempt)
+def later_mentions(text: str, names: dict, made: list) -> list:
+    """The same persons without a title: by the whole name, the family name, or given names."""
+    given_names = {w: (k, w, g) for parts in names.values() for k, w, g in parts if k == "given"}
+    families = {w: (k, w, g) for parts in names.values() for k, w, g in parts if k == "family"}
+    words = "|".join(map(re.escape, sorted(given_names.keys() | families.keys(), key=len, reverse=True)))
+    spans, out, at = [(s, e) for _, _, s, e, _ in made], [], 0
+    for m in re.finditer(rf"(?<!\w)(?:{words})(?!\w)(?: (?:{words})(?!\w))*", text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        if at < len(spans) and spans[at][0] < m.end():
+            pieces = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"\S+", m[0])]
+            pieces = [p for p in pieces if not any(s < p[1] and e > p[0] for s, e in spans[at:at + len(pieces) + 1])]
+        else:
+            pieces = [m.span()]
+        for s, e in pieces:
+            own = text[s:e].split(" ")
+            parts = names.get(text[s:e]) or [families[w] if w in families and (k + 1 == len(own) or w not in given_names) else
+                                             given_names.get(w) or families[w] for k, w in enumerate(own)]
+            out.append(("name", text[s:e], s, e, parts))
+    return out
+
+
+def drawn_surrogate(key: bytes, kind: str, word: str, gender: str, attempt: int) -> str:
+    if kind == "given":
+        return given(key, word, gender, attempt)
+    return (email if kind == "email" else family)(key, word, attempt)
+
+
+def surrogate(key: bytes, kind: str, entity: str, parts: list, attempts: dict[str, int]) -> str:
+    if parts:
+        return " ".join(drawn_surrogate(key, *p, attempts.get(f"{p[0]}:{known_by(*p)}", 0)) for p in parts)
     now = entity
     while now == entity:  # a fixed point of the map is mapped with another key
         now = {"phone": phone, "card": card, "ip": ip}[kind](key, entity)
@@ -176,20 +217,24 @@ def surrogate(key: bytes, kind: str, entity: str, gender: str, attempt: int = 0)
 
 def replaced(text: str, key: bytes, attempts: dict[str, int]) -> tuple[str, list[int]]:
     out, upto, counts = [], 0, dict.fromkeys(KINDS, 0)
-    for kind, entity, s, e, gender in found(text):
-        again = attempts.get(f"{kind}:{canonical(kind, entity)}", 0) if kind in DRAWN else 0
-        out += [text[upto:s], surrogate(key, kind, entity, gender, again)]
+    for kind, entity, s, e, parts in found(text):
+        out += [text[upto:s], surrogate(key, kind, entity, parts, attempts)]
         upto = e
         counts[kind] += 1
     return "".join([*out, text[upto:]]), list(counts.values())
 
 
+def drawn_in(text: str) -> set[tuple[str, str]]:
+    """(kind, what it is known by) of everything drawn in a text."""
+    return {(p[0], known_by(*p)) for *_, parts in found(text) for p in parts}
+
+
 def drawn_entities(docs: DataFrame) -> DataFrame:
     """The distinct entities whose surrogates are drawn: (kind, entity in canonical form)."""
     def work(batches):
         seen: set[tuple[str, str]] = set()
         for b in slices(batches):
-            new = {(k, canonical(k, e)) for t in b.column("_text").to_pylist() for k, e, *_ in found(t) if k in DRAWN} - seen
+            new = {x for t in b.column("_text").to_pylist() for x in drawn_in(t)} - seen
             seen = new | seen if len(seen) < 1 << 18 else new
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in sorted(new)], pa.string()) for j in range(2)], names=["kind", "entity"])
 
@@ -205,11 +250,15 @@ def later_attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def draw(batches):
         for b in slices(batches, 4096):
             rows = zip(*(b.column(c).to_pylist() for c in ("kind", "entity", "attempt")))
-            made = [canonical(k, surrogate(key, k, e, "m", a)) for k, e, a in rows]
+            made = []
+            for k, e, a in rows:
+                gender, _, word = e.rpartition(":") if k == "given" else ("", "", e)
+                made.append(drawn_surrogate(key, k, word, gender, a).lower())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "surrogate"])
 
     entities = kept(drawn_entities(docs).withColumn("attempt", F.lit(0)))
-    taken = entities.select("kind", F.col("entity").alias("surrogate"))
+    taken = entities.select("kind", F.when(F.col("kind") == "given", F.regexp_replace("entity", "^[mf]?:", "")).otherwise(
+        F.col("entity")).alias("surrogate")).distinct()
     for _ in range(ATTEMPTS):
         made = kept(entities.mapInArrow(draw, "kind string, entity string, attempt int, surrogate string"))
         winner = made.groupBy("kind", "surrogate").agg(F.min_by("entity", F.struct(-F.col("attempt"), F.col("entity"))).alias("winner"))
@@ -231,7 +280,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def occur(batches):
         for b in slices(batches):
             got = [(r, k, e) for r, t in zip(b.column("text_key").to_pylist(), b.column("_text").to_pylist())
-                   for k, e in {(k, canonical(k, e)) for k, e, *_ in found(t) if k in DRAWN}]
+                   for k, e in drawn_in(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string()))],
                                              names=["text_key", "kind", "entity"])
 

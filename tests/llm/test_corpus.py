@@ -194,6 +194,17 @@ def test_colliding_names_draw_again(spark, monkeypatch):
     assert len(set(used)) == len(names) and not set(used) & {n.split()[-1].lower() for n in names}
 
 
+def test_whole_names_are_replaced_and_stay_distinct(spark):
+    made, counts = surrogates.replaced("Mr John Smith came. John Smith left, then John. Smith and Mr John Smith. Ms Mary Ann Lee, Mary Ann Lee.", b"k", {})
+    assert not re.search("John|Smith|Mary|Ann|Lee", made) and counts == [0, 0, 0, 0, 7]
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. \1 \2 left, then \1\. \2 and Mr \1 \2\. Ms (\w+) (\w+) (\w+), \3 \4 \5\.", made)
+    assert m and m[3] != m[4]
+    firsts = ["John", "James", "Peter", "Bruno", *(f"Given{chr(97 + k)}{chr(97 + j)}" for k in range(6) for j in range(6))]
+    df = spark.createDataFrame([(k, f"Mr {n} Smith here") for k, n in enumerate(firsts)], "doc_id bigint, text string")
+    used = [re.fullmatch(r"Mr (\w+) (\w+) here", r.text).groups() for r in surrogates.pseudonymised(df).collect()]
+    assert len(set(used)) == len(firsts) and len({f for _, f in used}) == 1 and "Bruno" not in {g for g, _ in used}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
