@@ -3,7 +3,7 @@
 A text's paragraphs (its lines; long ones in pieces of 512 code points, empty
 ones left out) become 64-bit digests; a digest names a paragraph and the how
 many-eth of its kind it is, so repeated paragraphs count. A sketch has three
-tables of cells. Every digest adds 1, a check value and, by xor, itself to one
+tables of cells. Every digest adds 1 and, by xor, a check value and itself to one
 cell of each table. Two sketches of one size subtract cell by cell; what both
 texts share cancels, and peeling takes out cells that hold one digest until none
 is left. If peeling stops early, both texts are sketched anew and larger.
@@ -27,7 +27,6 @@ CELLS = 12          # cells of a fingerprint and of a section of a larger sketch
 THIRD = CELLS // 3  # of them in each table
 PER_SECTION = 3     # digests in a section of a larger sketch, on average at most
 RETRIES = 6         # with twice the sections for the digests that are left, each time
-ONE = 1 << 48       # a digest's share in the count kept in the upper bits of a sum
 SEED = 29
 BUCKET = 5          # ids are put into groups of 2**BUCKET neighbours
 LEVEL = 10          # and groups into groups of 2**LEVEL above that
@@ -55,9 +54,8 @@ def repeats_told_apart(plain: Column) -> Column:
         F.transform(plain, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(plain, h))))
 
 
-def weight_of(key: Column) -> Column:
-    """What a digest adds to the sum of a cell: one in the upper bits, its check of 32 bits in the lower."""
-    return F.xxhash64(key, F.lit(SEED)).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(ONE)
+def check_of(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(SEED))
 
 
 def cells_of(key: Column, seed: Column) -> Column:
@@ -66,28 +64,29 @@ def cells_of(key: Column, seed: Column) -> Column:
         F.pmod(F.shiftright(h, 20 * t), F.lit(THIRD)).cast("int").alias(f"q{t}") for t in range(3)]))
 
 
-def added(cells: Column, key: Column, at: Column, weight: Column) -> Column:
-    """The cells with a digest put in, or taken out where the weight is negative."""
+def added(cells: Column, key: Column, at: Column, check: Column, count: Column) -> Column:
+    """The cells with a digest put in, or taken out where the count is negative."""
     def table(t: int) -> Column:
         return F.transform(cells[f"t{t}"], lambda c, i: F.when(i == at[f"q{t}"], F.struct(
-            (c["sum"] + weight).alias("sum"), c["key"].bitwiseXOR(key).alias("key"))).otherwise(c)).alias(f"t{t}")
+            (c["count"] + count).alias("count"), c["check"].bitwiseXOR(check).alias("check"),
+            c["key"].bitwiseXOR(key).alias("key"))).otherwise(c)).alias(f"t{t}")
 
     return F.struct(*map(table, range(3)))
 
 
 def sketch(keys: Column, seed: Column | int = 0, onto: Column | None = None) -> Column:
-    """The cells of some digests in three tables: sums of weights, and digests joined by xor.
+    """The cells of some digests in three tables: counts, and checks and digests joined by xor.
 
     ``onto`` is a sketch from which the sketch of ``keys`` is subtracted.
     """
     seed, sign = seed if isinstance(seed, Column) else F.lit(seed), 1 if onto is None else -1
     if onto is None:
         zero = F.lit(0).cast("bigint")
-        zeros = F.array_repeat(F.struct(zero.alias("sum"), zero.alias("key")), THIRD)
+        zeros = F.array_repeat(F.struct(zero.alias("count"), zero.alias("check"), zero.alias("key")), THIRD)
         onto = F.struct(*[zeros.alias(f"t{t}") for t in range(3)])
     return F.aggregate(keys, onto, lambda cells, k: let(
-        F.struct(cells_of(k, seed).alias("at"), (weight_of(k) * sign).alias("weight")),
-        lambda p: added(cells, k, p["at"], p["weight"])))
+        F.struct(cells_of(k, seed).alias("at"), check_of(k).alias("check")),
+        lambda p: added(cells, k, p["at"], p["check"], F.lit(sign).cast("bigint"))))
 
 
 def all_cells(cells: Column) -> Column:
@@ -96,7 +95,7 @@ def all_cells(cells: Column) -> Column:
 
 def subtracted(a: Column, b: Column) -> Column:
     return F.struct(*[F.zip_with(a[t], b[t], lambda x, y: F.struct(
-        (x["sum"] - y["sum"]).alias("sum"), x["key"].bitwiseXOR(y["key"]).alias("key"))).alias(t) for t in ("t0", "t1", "t2")])
+        (x["count"] - y["count"]).alias("count"), x["check"].bitwiseXOR(y["check"]).alias("check"), x["key"].bitwiseXOR(y["key"]).alias("key"))).alias(t) for t in ("t0", "t1", "t2")])
 
 
 def peeled(cells: Column, seed: Column) -> Column:
@@ -105,16 +104,16 @@ def peeled(cells: Column, seed: Column) -> Column:
     Every step takes out the digest of one cell that holds a single one.
     """
     def step(state: Column, _) -> Column:
-        pure = F.filter(all_cells(state["cells"]), lambda c: (F.shiftright(F.abs(c["sum"]), 48) == 1)
-                        & (F.abs(c["sum"]) == weight_of(c["key"])))
+        pure = F.filter(all_cells(state["cells"]), lambda c: (F.abs(c["count"]) == 1)
+                        & (c["check"] == check_of(c["key"])))
 
         def without(one: Column) -> Column:
             def side(name: str, own: Column) -> Column:
                 return F.when(own, F.array_append(state[name], one["key"])).otherwise(state[name]).alias(name)
 
             return let(cells_of(one["key"], seed), lambda at: F.struct(
-                added(state["cells"], one["key"], at, -one["sum"]).alias("cells"),
-                side("left", one["sum"] > 0), side("right", one["sum"] < 0), F.lit(True).alias("going")))
+                added(state["cells"], one["key"], at, one["check"], -one["count"]).alias("cells"),
+                side("left", one["count"] > 0), side("right", one["count"] < 0), F.lit(True).alias("going")))
 
         stopped = F.struct(state["cells"].alias("cells"), state["left"].alias("left"), state["right"].alias("right"),
                            F.lit(False).alias("going"))
@@ -124,7 +123,7 @@ def peeled(cells: Column, seed: Column) -> Column:
     start = F.struct(cells.alias("cells"), none().alias("left"), none().alias("right"), F.lit(True).alias("going"))
     over = F.aggregate(F.sequence(F.lit(0), F.lit(CELLS)), start, step)
     return let(over, lambda s: F.when(
-        F.forall(all_cells(s["cells"]), lambda c: (c["sum"] == 0) & (c["key"] == 0)),
+        F.forall(all_cells(s["cells"]), lambda c: (c["count"] == 0) & (c["check"] == 0) & (c["key"] == 0)),
         F.struct(s["left"].alias("left"), s["right"].alias("right"))))
 
 
@@ -189,9 +188,9 @@ def likeness(a: str, b: str, apart: str) -> Column:
 
 
 def as_string(keys: Column, cells: Column) -> Column:
-    """The number of digests and the cells (sum and xor) in hexadecimal."""
+    """The number of digests and the cells (count, check and xor) in hexadecimal."""
     return F.concat_ws(",", F.lower(F.hex(F.size(keys))), F.transform(
-        all_cells(cells), lambda c: F.lower(F.concat(F.hex(c["sum"]), F.lit("."), F.hex(c["key"])))))
+        all_cells(cells), lambda c: F.lower(F.concat_ws(".", F.hex(c["count"]), F.hex(c["check"]), F.hex(c["key"])))))
 
 
 def successors(keys: DataFrame) -> DataFrame:

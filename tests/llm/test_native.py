@@ -177,6 +177,12 @@ def test_fingerprints(docs, corpus):
     assert all(len(f) == 1 for f in by_text.values())
 
 
+def test_cells_of_very_many_digests(spark):
+    keys = F.transform(F.sequence(F.lit(1), F.lit(150000)), lambda k: F.xxhash64(k))
+    made = spark.range(1).select(keys.alias("k")).select(fp.all_cells(fp.sketch(F.col("k"))).alias("c")).first().c
+    assert sum(c["count"] for c in made) == 3 * 150000 and max(c["count"] for c in made) > 1 << 15
+
+
 def test_native_queries_have_no_python(docs):
     for df in (mixing.taken_words(docs), fp.fingerprinted(docs)):
         plan = df._jdf.queryExecution().toString()
