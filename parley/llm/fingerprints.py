@@ -1,14 +1,15 @@
 """Document fingerprints that can be subtracted: invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs (its lines; long ones in pieces of 512 code points, empty
-ones left out) become 64-bit digests; a digest names a paragraph and the how
-many-eth of its kind it is, so repeated paragraphs count. A sketch has three
+A text is cut into pieces of a few words, which end where the hash of a word says so,
+so that the cuts follow the content and meet again after an edit. Pieces become
+64-bit digests; a digest names a piece and the how many-eth of its kind it is, so
+repeated pieces count. A sketch has three
 tables of cells. Every digest adds 1 and, by xor, a check value and itself to one
 cell of each table. Two sketches of one size subtract cell by cell; what both
 texts share cancels, and peeling takes out cells that hold one digest until none
 is left. If peeling stops early, both texts are sketched anew and larger.
 
-* Missing texts count as empty. A text without paragraphs has an empty sketch.
+* Missing texts count as empty. An empty text has an empty sketch.
 * Likeness is shared over all digests of the two texts; two empty ones have 1.
 * The next document goes by id, ties by the hash of the text, missing ids first;
   the last is followed by the first. Equal rows are documents of their own.
@@ -22,7 +23,11 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import text_of, written
 
-PIECE = 512         # code points in a paragraph at most
+CUT = "0-9A-Zjqxz\\x{2E80}-\\x{10FFFF}"  # characters that end a token, for runs without blanks
+TOKEN = rf"[^\s{CUT}]+(?:[{CUT}]\s*|\s*)|[{CUT}]\s*|\s+"  # tokens put together are the text
+EVERY = 8           # one of so many tokens ends a piece
+MOST = 8            # tokens in a piece at most
+SECTIONS = 32       # sections of a larger sketch that digests are dealt to together
 CELLS = 12          # cells of a fingerprint and of a section of a larger sketch
 THIRD = CELLS // 3  # of them in each table
 PER_SECTION = 3     # digests in a section of a larger sketch, on average at most
@@ -42,16 +47,33 @@ def none() -> Column:
     return F.array().cast("array<bigint>")
 
 
+def pieces(tokens: Column) -> Column:
+    """Hashes of the runs of tokens up to one whose hash ends a piece; longer runs in pieces of MOST tokens."""
+    last = F.size(tokens)
+    ends = F.filter(F.transform(tokens, lambda w, i: F.when(
+        (F.pmod(F.xxhash64(w, F.lit(SEED)), F.lit(EVERY)) == 0) | (i + 1 == last), i + 1)), lambda e: e.isNotNull())
+
+    def cut(ends: Column) -> Column:
+        def run(e: Column, k: Column) -> Column:
+            start = F.when(k == 0, F.lit(1)).otherwise(F.get(ends, k - 1) + 1)
+            return F.transform(F.sequence(start, e, F.lit(MOST)), lambda at: F.xxhash64(
+                F.slice(tokens, at, F.least(F.lit(MOST), e - at + 1))))
+
+        return F.flatten(F.transform(ends, run))
+
+    return let(ends, cut)
+
+
 def digests(text: Column) -> Column:
-    """Digests of the paragraphs, those of equal paragraphs told apart by a running number."""
-    pieces = F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}" % PIECE), F.lit(0))
-    return let(F.array_sort(F.transform(pieces, lambda p: F.xxhash64(p))), repeats_told_apart)
+    """Digests of the pieces, those of equal pieces told apart by a running number."""
+    hashes = let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), pieces)
+    return let(F.array_sort(hashes), repeats_told_apart)
 
 
 def repeats_told_apart(plain: Column) -> Column:
-    """Sorted hashes; the k-th equal one is hashed with k where a hash stands more than once."""
-    return F.when(F.size(F.array_distinct(plain)) == F.size(plain), plain).otherwise(
-        F.transform(plain, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(plain, h))))
+    """Sorted hashes; the first of equal ones stays as it is, the k-th after it is hashed with k."""
+    return F.when(F.size(F.array_distinct(plain)) == F.size(plain), plain).otherwise(F.transform(plain, lambda h, i: let(
+        i + 1 - F.array_position(plain, h), lambda k: F.when(k == 0, h).otherwise(F.xxhash64(h, k)))))
 
 
 def check_of(key: Column) -> Column:
@@ -149,9 +171,14 @@ def enlarged(a: Column, b: Column) -> Column:
             return F.struct(y["a"].alias("a"), y["b"].alias("b"), let(cells, lambda c: peeled(c, t)).alias("found"))
 
         def sections(n: Column) -> Column:
-            return let(F.struct(dealt(state["a"], n).alias("a"), dealt(state["b"], n).alias("b")), lambda x: F.transform(
-                F.sequence(F.lit(0).cast("bigint"), n - 1),
-                lambda s: let(F.struct(own(x["a"], s).alias("a"), own(x["b"], s).alias("b")), section)))
+            def some(x: Column, g: Column) -> Column:
+                near = F.struct(*[F.filter(x[c], lambda k: F.floor(k["s"] / SECTIONS) == g).alias(c) for c in ("a", "b")])
+                return let(near, lambda y: F.transform(
+                    F.sequence(g * SECTIONS, F.least((g + 1) * SECTIONS, n) - 1),
+                    lambda s: let(F.struct(own(y["a"], s).alias("a"), own(y["b"], s).alias("b")), section)))
+
+            return let(F.struct(dealt(state["a"], n).alias("a"), dealt(state["b"], n).alias("b")), lambda x: F.flatten(F.transform(
+                F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / SECTIONS)), lambda g: some(x, g))))
 
         def put_together(parts: Column) -> Column:
             done = F.filter(parts, lambda p: p["found"].isNotNull())

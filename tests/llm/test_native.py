@@ -177,6 +177,24 @@ def test_fingerprints(docs, corpus):
     assert all(len(f) == 1 for f in by_text.values())
 
 
+def test_half_equal_texts_share_digests_at_every_length(spark):
+    rng = random.Random(9)
+    rows = []
+    for n in (20, 40, 80, 160, 300, 600):
+        for blank in (" ", "漢"):
+            half, one, other = (blank.join("".join(rng.choice("abcdefghio") for _ in range(5)) for _ in range(n // 2)) for _ in range(3))
+            rows += [(half + blank + one, half + blank + other), (one + blank + half, "moved by this " + one[7:] + blank + half)]
+    rows += [("".join(rng.choice("漢字文化日本語") for _ in range(200)) + e, "") for e in ("", "x")]
+    passage = "one passage of eight words that stands twice "
+    rows.append((passage * 2 + rows[4][0], rows[4][0]))  # repeats on one side only
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", fp.digests(F.col("a")).alias("x"), fp.digests(F.col("b")).alias("y"),
+                                                                  F.regexp_extract_all("a", F.lit(fp.TOKEN), F.lit(0)).alias("t"))
+    for r in df.collect():
+        assert "".join(r.t) == r.a and len(set(r.x)) == len(r.x) >= len(r.t) / fp.MOST
+        assert not r.b or len(r.t) < 40 or set(r.x) & set(r.y), r.a
+        assert not r.b or r.a[:10] != r.b[:10] or set(r.x) & set(r.y), r.a
+
+
 def test_cells_of_very_many_digests(spark):
     keys = F.transform(F.sequence(F.lit(1), F.lit(150000)), lambda k: F.xxhash64(k))
     made = spark.range(1).select(keys.alias("k")).select(fp.all_cells(fp.sketch(F.col("k"))).alias("c")).first().c
