@@ -4,10 +4,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.session import shared_folder
+
 #: A word, and the white space between words, as the contracts define them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,11 +24,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Without that setting a local session gets a temporary folder of its own, as in
+    tests; on a cluster it is an error, as executors don't see each other's disks.
+    """
+    local = spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.split("[")[0] == "local"
+    return shared_folder(spark, tempfile.mkdtemp() if local else None).rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again, so that its lineage ends there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 
@@ -35,8 +53,7 @@ def written(df: DataFrame) -> DataFrame:
     plan before it, and such estimates multiply from join to join in a loop.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
@@ -63,3 +80,14 @@ def slices(batches, rows: int = 256):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def by_bytes(batches, column: str, most: int):
+    """Arrow batches cut into runs of rows whose texts have ``most`` bytes together, or of one longer text."""
+    for b in batches:
+        at = 0
+        sizes = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, upto - at)
+            at = upto

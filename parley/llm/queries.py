@@ -1,6 +1,6 @@
 """Queries of this subpackage over the test tables, and their checking SQL."""
 import corpus_pipeline
-from parley.llm import bpe, ctw, fingerprints, linededup, mixing, neardup, quality, rules, secretscan, surrogates
+from parley.llm import bpe, ctw, fingerprints, linededup, mixing, neardup, quality, ranked, rules, secretscan, spelling, surrogates, tokenfiles
 
 
 def queries():
@@ -15,6 +15,9 @@ def queries():
         "op8_secret_scan": secretscan.query,
         "op9_source_mix": mixing.query,
         "op10_fingerprints": fingerprints.query,
+        "op11_ranked_search": ranked.query,
+        "op12_token_files": tokenfiles.query,
+        "op13_spelling_variants": spelling.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -24,4 +27,6 @@ def oracle_sql():
         "op2_quality_rules": rules.SQL,
         "op4_line_dedup": linededup.SQL,
         "op5_near_dedup": neardup.SQL,
+        "op11_ranked_search": ranked.SQL,
+        "op13_spelling_variants": spelling.SQL,
     }
