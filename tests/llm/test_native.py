@@ -3,13 +3,16 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parley.llm import fingerprints as fp
 from parley.llm import linededup, mixing
+from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = " \t\n\x0b\x0c\r"
@@ -142,39 +145,124 @@ def test_permutation_is_one_to_one(spark, size):
     assert sorted(r.x for r in df.collect()) == list(range(size))
 
 
-def test_successors(spark):
+@pytest.mark.parametrize("more", [[], [-2 ** 63], [-2 ** 63, 2 ** 63 - 1], [-2 ** 58, -1, -40]])
+def test_successors(spark, more):
     rng = random.Random(1)
-    keys = sorted({0, -5, 2 ** 40, *(rng.randrange(-3000, 10 ** 7) for _ in range(500)), *range(2000)})
+    keys = sorted({0, -5, 2 ** 40, *(rng.randrange(-3000, 10 ** 7) for _ in range(500)), *range(2000), *more})
     got = dict(map(tuple, fp.successors(spark.createDataFrame([(k,) for k in keys], "key bigint")).collect()))
     assert got == dict(zip(keys, keys[1:] + keys[:1]))
 
 
-def test_fingerprints(docs, corpus):
-    rows = sorted(corpus, key=lambda r: r[0])
-    ids = [r[0] for r in rows]
-    got = defaultdict(list)
-    made = fp.fingerprinted(docs).withColumns({"d": fp.recovered("own_keys", "new_keys", "own_cells", "new_cells"),
-                                               "e": fp.recovered("own_keys", "other_keys", "own_cells", "other_cells")})
-    made = made.select("doc_id", "text", "next_text", "edited", "own_keys", "new_keys", "other_keys", "d", "e",
-                       fp.as_string(F.col("own_keys"), F.col("own_cells")).alias("f"))
-    for r in made.collect():
-        got[r.doc_id].append(r)
-        half = len(r.text) // 2
-        assert r.edited == r.text[:len(r.text) - half] + r.next_text[:half]
-        for other, apart in ((r.new_keys, r.d), (r.other_keys, r.e)):
-            assert set(apart.left) == set(r.own_keys) - set(other) and set(apart.right) == set(other) - set(r.own_keys)
-            assert len(apart.left) + len(apart.right) == len(set(r.own_keys) ^ set(other))
-        assert len(set(r.own_keys)) == len(r.own_keys)
-    assert Counter(ids) == Counter({d: len(v) for d, v in got.items()})
-    text = {r[0]: r[1] or "" for r in rows}
-    order = sorted(text)
-    for a, b in zip(order, order[1:] + order[:1]):
-        assert any(r.next_text == text[b] for r in got[a])
+def spark_hash(values, seed=42):
+    """xxhash64 of Spark over several values: strings, 32- and 64-bit numbers, one after the other."""
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2 ** 64 if seed >= 2 ** 63 else seed
+
+
+def plain_grain(text):
+    size = len(text.encode())
+    return 2 * max(0, math.ceil(math.log2(max(size, 1) / fp.LEAF))) + (text.count(" ") * fp.BLANKS < size)
+
+
+def plain_digests(text, grain):
+    """Pieces, their hashes and numbers, by a loop over the tokens."""
+    cut = fp.CUT.replace("\\x{2E80}", "\u2e80").replace("\\x{10FFFF}", "\U0010ffff")
+    blank = r"[ \t\n\x0b\f\r]"
+    token = rf"[^ \t\n\x0b\f\r{cut}]+(?:[{cut}]{blank}*|{blank}*)|[{cut}]{blank}*|{blank}+"
+    tokens = re.findall(token, text) if grain & 1 else text.split(" ")
+    every, piece, made = fp.EVERY << (grain >> 1), [], Counter()
+    for k, t in enumerate(tokens):
+        piece.append(t)
+        ends = (spark_hash([t, (fp.SEED, 4)]) & (every - 1)) == 0 or k + 1 == len(tokens)
+        if ends or len(piece) == every:
+            made[spark_hash(piece)] += 1
+            piece = []
+    return {spark_hash([(h, 8), (n, 4)]) for h, n in made.items()}
+
+
+def plain_likeness(x, y):
+    a, b = plain_grain(x), plain_grain(y)
+    grain = max(a >> 1, b >> 1) * 2 + ((a | b) & 1)
+    p, q = plain_digests(x, grain), plain_digests(y, grain)
+    n, d = len(p) + len(q), len(p ^ q)
+    return (n - d) / (n + d) if n else 1.0
+
+
+def plain_fingerprint_rows(corpus):
+    """Every row of the contract but the fingerprints, for rows in the order of ids and of text hashes."""
+    rows = sorted(((-2 ** 63 if r[0] is None else r[0], spark_hash([r[1] or ""]), r[0], r[1] or "") for r in corpus), key=lambda r: r[:2])
+    out = []
+    for (_, _, d, text), (_, _, _, after) in zip(rows, rows[1:] + rows[:1]):
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        out.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), plain_likeness(text, edited), plain_likeness(text, after)))
+    return sorted(out, key=repr)
+
+
+def made_rows(df):
+    return df.select("doc_id", F.char_length("text").alias("n"), F.sha2("edited", 256), fp.likeness(F.col("to_edited"), F.col("edit_apart")),
+                     fp.likeness(F.col("to_next"), F.col("next_apart")), "edit_apart", "next_apart", "to_edited", "to_next",
+                     fp.as_string(F.col("own_keys"), F.col("own_cells")).alias("f"), "text").collect()
+
+
+def test_fingerprints_equal_plain(docs, corpus):
+    rows = made_rows(fp.fingerprinted(docs))
+    got = sorted(((r.doc_id, r.n, r[2], r[3], r[4]) for r in rows), key=repr)
+    want = plain_fingerprint_rows(corpus)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(math.isclose(x, y, abs_tol=1e-12) for g, w in zip(got, want) for x, y in zip(g[3:], w[3:]))
+    for r in rows:
+        for pair, apart in ((r.to_edited, r.edit_apart), (r.to_next, r.next_apart)):
+            assert sorted(apart.left) == sorted(set(pair.a) - set(pair.b)) and sorted(apart.right) == sorted(set(pair.b) - set(pair.a))
+    assert sum(r.edit_apart.by_fingerprint for r in rows) >= 0.9 * len(rows)
     by_text = defaultdict(set)
-    for v in got.values():
-        for r in v:
-            by_text[r.text].add(r.f)
-    assert all(len(f) == 1 for f in by_text.values())
+    for r in rows:
+        by_text[r.text].add(r.f)
+    assert all(len(f) == 1 for f in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
+
+
+def test_fingerprints_without_and_with_shared_ids(spark, monkeypatch):
+    """Missing, negative and shared ids, in groups that are crowded and dealt out further."""
+    monkeypatch.setattr(fp, "CROWDED", 20)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, None, 7, 7, 9, -3, -2 ** 63 + 5, 2 ** 62, k]), prose(rng, rng.randint(0, 30))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = plain_fingerprint_rows(rows)
+    got = sorted(((r.doc_id, r.n, r[2], r[3], r[4]) for r in made_rows(fp.fingerprinted(df))), key=repr)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    """Texts of some megabytes, with many pieces too, end soon: sketches are enlarged in parts."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(400000)]
+    ender = next(w for w in (f"v{k}" for k in range(10 ** 6)) if spark_hash([w, (fp.SEED, 4)]) & ((1 << 18) - 1) == 0)
+    often = " ".join(f"{w} {ender}" for w in words[:20000])
+    df = spark.createDataFrame([(1, " ".join(words)), (2, often), (3, "x" * 3000000)], "doc_id bigint, text string")
+    started = time.time()
+    rows = {r.doc_id: r for r in made_rows(fp.fingerprinted(df))}
+    assert time.time() - started < 100
+    assert len(rows[2].to_edited.a) > 15000 and not rows[2].edit_apart.by_fingerprint
+    for r in rows.values():
+        assert sorted(r.edit_apart.left) == sorted(set(r.to_edited.a) - set(r.to_edited.b))
+
+
+def test_sketches_recover_differences(spark):
+    """Peeling finds the differences of most pairs with up to 20 of them, and never a wrong one."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(400):
+        both = [rng.randrange(2 ** 62) for _ in range(30)]
+        rows.append((both + [rng.randrange(2 ** 62) for _ in range(k % 11)], both + [rng.randrange(2 ** 62) for _ in range(k % 10)]))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    cells = df.withColumns({"x": fp.sketch(F.col("a")), "y": fp.sketch(F.col("b"))})
+    got = cells.select("a", "b", fp.peeled(fp.subtracted(F.col("x"), F.col("y"))).alias("d"), fp.enlarged(F.col("a"), F.col("b")).alias("e")).collect()
+    for r in got:
+        want = sorted(set(r.a) - set(r.b)), sorted(set(r.b) - set(r.a))
+        assert (sorted(r.e.left), sorted(r.e.right)) == want and (r.d is None or (sorted(r.d.left), sorted(r.d.right)) == want)
+    assert sum(r.d is not None for r in got) > 0.93 * len(got)
 
 
 def test_half_equal_texts_share_digests_at_every_length(spark):
@@ -187,18 +275,20 @@ def test_half_equal_texts_share_digests_at_every_length(spark):
     rows += [("".join(rng.choice("漢字文化日本語") for _ in range(200)) + e, "") for e in ("", "x")]
     passage = "one passage of eight words that stands twice "
     rows.append((passage * 2 + rows[4][0], rows[4][0]))  # repeats on one side only
-    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", fp.digests(F.col("a")).alias("x"), fp.digests(F.col("b")).alias("y"),
-                                                                  F.regexp_extract_all("a", F.lit(fp.TOKEN), F.lit(0)).alias("t"))
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("g", fp.common_grain(fp.grain_of(F.col("a")), fp.grain_of(F.col("b"))))
+    df = df.select("a", "b", "g", fp.digests(F.col("a"), F.col("g")).alias("x"), fp.digests(F.col("b"), F.col("g")).alias("y"),
+                   fp.tokens_of(F.col("a"), F.col("g")).alias("t"))
     for r in df.collect():
-        assert "".join(r.t) == r.a and len(set(r.x)) == len(r.x) >= len(r.t) / fp.MOST
+        assert ("" if r.g & 1 else " ").join(r.t) == r.a and len(set(r.x)) == len(r.x)
+        assert set(r.x) == plain_digests(r.a, r.g)
         assert not r.b or len(r.t) < 40 or set(r.x) & set(r.y), r.a
         assert not r.b or r.a[:10] != r.b[:10] or set(r.x) & set(r.y), r.a
 
 
 def test_cells_of_very_many_digests(spark):
     keys = F.transform(F.sequence(F.lit(1), F.lit(150000)), lambda k: F.xxhash64(k))
-    made = spark.range(1).select(keys.alias("k")).select(fp.all_cells(fp.sketch(F.col("k"))).alias("c")).first().c
-    assert sum(c["count"] for c in made) == 3 * 150000 and max(c["count"] for c in made) > 1 << 15
+    made = spark.range(1).select(keys.alias("k")).select(fp.sketch(F.col("k")).alias("c")).first().c
+    assert sum(c["count"] for c in made) == 3 * 150000 and len(made) == fp.CELLS
 
 
 def test_native_queries_have_no_python(docs):
