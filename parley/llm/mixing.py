@@ -26,6 +26,7 @@ BLOCK = 32          # words in a block
 SHARD = 8192        # slots in an output shard
 GROUPS = 1024       # hashed groups of documents in a source
 STRETCH = 16384     # slots that one row is expanded to at once
+TASK = 1 << 20      # slots of one task at most, on average
 ROUNDS = 12         # rounds of a permutation
 UNIT = 1 << 20      # parts that a copy of a document is counted in
 PARTS = 64          # hashed parts of a source's documents of about one size
@@ -128,8 +129,10 @@ def quotas(plan: DataFrame) -> tuple[DataFrame, int]:
 def draw(plan: DataFrame) -> DataFrame:
     """The slots of the mix: shard, position in it, source place and block index."""
     quota, total = quotas(plan)
+    # an explicit number of partitions, as the few rows here become many slots
+    parts = max(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
     stretches = quota.select("*", F.explode(F.sequence(
-        F.lit(0), F.floor((F.col("n_slots") - 1) / STRETCH).cast("bigint"))).alias("_stretch")).repartition("place", "_stretch")
+        F.lit(0), F.floor((F.col("n_slots") - 1) / STRETCH).cast("bigint"))).alias("_stretch")).repartition(parts, "place", "_stretch")
     low = F.col("_stretch") * STRETCH
     slots = stretches.select("place", "n_blocks", "first_slot", F.explode(F.sequence(
         low, F.least(low + STRETCH, F.col("n_slots")) - 1)).alias("k"))

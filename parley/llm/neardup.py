@@ -279,9 +279,11 @@ def grouped(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFram
 def survivors(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """Rows of ``docs`` with the smallest id of their group; one row where that id repeats."""
     kept_keys = grouped(docs, words, limit).where("id = component").select("id", "text_key").dropDuplicates(["id"])
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_key": F.xxhash64(text_of())})
+    own = [f"_c{k}" for k in range(len(docs.columns))]  # whatever their names, the documents' columns are numbered
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_of()).alias("_key"),
+                       *(F.col(c).alias(n) for c, n in zip(docs.columns, own)))
     found = rows.join(kept_keys, (rows["_id"] == kept_keys["id"]) & (rows["_key"] == kept_keys["text_key"]), "left_semi")
-    return found.dropDuplicates(["_id"]).select(*docs.columns)
+    return found.dropDuplicates(["_id"]).select(*own).withColumnsRenamed(dict(zip(own, docs.columns)))
 
 
 def query(spark, sf_dir):

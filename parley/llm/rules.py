@@ -6,11 +6,15 @@ distinct documents of its host (``source``) is boilerplate there and taken off.
 document is depleted, and rejected, if fewer than ``LEAST_WORDS`` words or less than
 ``LEAST_SHARE`` % of its words are left.
 
-Documents are told apart by the smallest MD5 among their lines, so copies and
-near copies of one document count once: being copied makes no line boilerplate.
+Documents are told apart by a hash of their whole raw text, so exact copies of one
+document count once: being copied makes no line boilerplate. Texts that differ
+anywhere, be it by a number that normalising erases, are documents of their own.
 
-* Missing and empty texts have no words, fail the base rules and are rejected.
+* Missing and empty texts have no words, fail the base rules and are rejected. An
+  empty table gives no rows.
 * Rows without a host form one host. Repeated rows each get their own result.
+* Whole texts are read; a very long one needs memory in proportion to its length.
+  Further columns of the documents, whatever their names, are not read.
 * A third of all rows may share a host or a line: lines are counted after a
   partial count in each task, and rows meet the boilerplate lines in a join whose
   crowded parts Spark splits.
@@ -90,9 +94,8 @@ def normal_lines(text: Column) -> Column:
 
 def boilerplate(docs: DataFrame, most: int = MOST_DOCS) -> DataFrame:
     """(host, line): lines in more than ``most`` distinct documents of a host."""
-    rows = docs.select(F.col("source").alias("host"), normal_lines(text_of()).alias("lines"))
-    rows = rows.select("host", F.xxhash64(F.array_min(F.transform("lines", F.md5))).alias("document"),
-                       F.explode(F.transform("lines", lambda x: F.xxhash64(x))).alias("line"))
+    rows = docs.select(F.col("source").alias("host"), F.xxhash64(text_of()).alias("document"),
+                       F.explode(F.transform(normal_lines(text_of()), lambda x: F.xxhash64(x))).alias("line"))
     return rows.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most).select("host", "line")
 
 
@@ -146,10 +149,9 @@ base AS (
          length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
-ident AS (SELECT doc_id, min(md5(key)) AS ident FROM mine WHERE key <> '' GROUP BY doc_id),
 common AS (
-  SELECT source, key FROM mine JOIN ident USING (doc_id) WHERE key <> ''
-  GROUP BY source, key HAVING count(DISTINCT ident) > 20),
+  SELECT source, key FROM mine JOIN w USING (doc_id) WHERE key <> ''
+  GROUP BY source, key HAVING count(DISTINCT w.text) > 20),
 off AS (
   SELECT mine.doc_id, sum(n) AS n_boilerplate FROM mine JOIN common
   ON mine.source IS NOT DISTINCT FROM common.source AND mine.key = common.key GROUP BY mine.doc_id),

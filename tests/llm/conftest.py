@@ -34,7 +34,8 @@ def corpus():
     return rows + [rows[3], rows[70]]  # repeated rows
 
 
-CLASHES = ["row_id", "size", "text_key", "_text", "label", "score", "node", "place", "kind", "key", "n", "id"]
+CLASHES = ["row_id", "size", "text_key", "_text", "label", "score", "node", "place", "kind", "key", "n", "id",
+           "_id", "_key", "n_lines", "n_dropped", "kept_text", "_c0", "word", "rank", "path", "start"]
 
 
 @pytest.fixture(scope="session")

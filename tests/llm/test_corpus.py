@@ -1,4 +1,5 @@
 """Quality rules, near-duplicates, surrogates and the pipeline against plain versions."""
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,7 +11,8 @@ import corpus_pipeline
 from check import compare, connect
 from parley.llm import mixing, neardup, queries, rules, surrogates
 from tests.conftest import DATA
-from tests.llm.conftest import WORDS, prose
+from tests.llm.conftest import CLASHES, WORDS, prose
+from tests.llm.test_native import plain_targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -140,7 +142,8 @@ def test_repeated_words():
 def test_rules_reject_depleted_documents_only(spark, docs, corpus, nothing):
     rng = random.Random(4)
     menu = "home page news sport weather contact imprint privacy search login basket help"
-    rows = [(k, "\n".join([menu] * 3 + [f"only {k} words left"]), None, "host", 0) for k in range(30)]
+    rows = [(k, "\n".join([menu] * 3 + [f"only {WORDS[k]} words left"]), None, "host", 0) for k in range(30)]
+    rows += [(400 + k, "\n".join([menu] * 3 + [f"only {k} words left"]), None, "numbers", 0) for k in range(30)]  # one line, numbers aside
     rows += [(100 + k, menu + "\n" + prose(rng, 60), None, "host", 0) for k in range(10)]
     rows += [(200 + k, menu + "\nfive more words stand here " * 4, None, "other", 0) for k in range(5)]
     copy = prose(rng, 80)
@@ -148,6 +151,7 @@ def test_rules_reject_depleted_documents_only(spark, docs, corpus, nothing):
     got = {r.doc_id: r for r in rules.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not any(got[k].kept for k in range(30)) and all(got[k].kept for k in range(100, 110))
     assert all(got[k].kept for k in range(300, 340)) and got[5].n_boilerplate == 36
+    assert all(got[k].n_boilerplate == 40 for k in range(400, 430))
     assert Counter(r.doc_id for r in rules.judged(docs).collect()) == Counter(d for d, *_ in corpus)
     assert rules.judged(nothing).collect() == []
 
@@ -229,11 +233,34 @@ def test_pipeline_stages(spark):
             want = plain_groups([tuple(r.values()) for r in before], 5)
             assert sorted(r["doc_id"] for r in rows) == sorted(d for d, (_, c) in want.items() if d == c)
         if name == "source mix":
-            sizes = {r["doc_id"]: len(WORD.findall(r["text"])) for r in before}
-            taken = {r.doc_id: r.taken for r in mixing.taken_words(previous).collect()}
-            want = {d: int(taken[d] / max(sizes[d], 1) + 0.5) for d in sizes}
-            assert Counter(r["doc_id"] for r in rows) == Counter({d: n for d, n in want.items() if n})
+            size = lambda r: len(WORD.findall(r["text"] or ""))
+            own, words, most = Counter(), Counter(), Counter()
+            for r in before:
+                own[r["source"]] += size(r)
+                most[r["source"]] = max(most[r["source"]], size(r))
+            for r in rows:
+                words[r["source"]] += size(r)
+            for s, target in plain_targets(own).items():  # the words of a source miss its target by two of its documents at most
+                assert abs(words[s] - target) <= 2 * most[s] + 3 * mixing.BLOCK, (s, words[s], target)
+            held = Counter(r["doc_id"] for r in before)
+            assert all(n <= 3 * held[d] for d, n in Counter(r["doc_id"] for r in rows).items())
         previous = spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, previous, DATA)
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, last.collect()))
+
+
+def test_pipeline_stages_with_odd_rows(spark, docs, corpus, nothing):
+    """Missing and very long texts, repeated rows, an empty table and clashing columns, which every stage keeps."""
+    kinds, numbers = dict(docs.dtypes), dict(zip(CLASHES, range(len(CLASHES))))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        made = stage(spark, docs, DATA)
+        assert made.columns == docs.columns and dict(made.dtypes) == kinds, name
+        rows = made.collect()
+        assert rows and {r.doc_id for r in rows} <= {r[0] for r in corpus}, name
+        assert all(r[c] == k for r in rows for c, k in numbers.items()), name
+        assert stage(spark, nothing, DATA).collect() == []
+    texts = {r[0]: r[1] or "" for r in corpus}
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert Counter(r.doc_id for r in last) == Counter(r[0] for r in corpus)
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last)
