@@ -20,10 +20,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that stand in three or more and aren't the last of their kind."""
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    made = linededup.deduplicated(docs, columns).withColumns(
+    own = {c: f"_own{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    rows = docs.withColumnsRenamed(own)  # under numbers, so that no column has a name of the result
+    made = linededup.deduplicated(rows, ["doc_id", *own.values()]).withColumns(
         {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)})
-    return made.select(*docs.columns)
+    return made.drop("kept_text", "n_lines", "n_dropped").withColumnsRenamed({n: c for c, n in own.items()}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
