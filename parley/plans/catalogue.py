@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 
 from parley.functions.segments import block_segment
 from parley.operators import detectors as d
-from parley.operators import catalog, documents, enrich, orders, retrieve, sessions, status
+from parley.operators import catalog, documents, enrich, halves, orders, retrieve, sessions, status, vectorindex, wordindex
 from parley.plans import bundles
 from parley.plans.registry import ALL, NAMED, VARIANTS
+from parley.session import new_folder
 from parley.sources import inputs, tables
 from parley.sources.bridge import AS_OF, bridge
 from parley.streaming import alerts, ratelimit, rollups
@@ -156,8 +157,56 @@ def _new_products(t) -> DataFrame:
     return documents.not_yet_ingested(docs, sold.distinct()).select("doc_type", "source_id")
 
 
+def _vector_queries(t) -> DataFrame:
+    """Every 50th vector as a query of its own, without text."""
+    asked = t["embeddings"].where("vec_id % 50 = 0").select(
+        F.concat(F.lit("v"), F.col("vec_id")).alias("query_id"), F.lit("").alias("query_text"), "embedding")
+    return retrieve.prepare_queries(asked)
+
+
+def _word_hits(t, prepared: DataFrame) -> DataFrame:
+    index = wordindex.build_word_index(inputs.knowledge_base(t), new_folder(t.spark, "words"))
+    return wordindex.documents_with(wordindex.keywords_of(prepared), index)
+
+
+def _found_by_words(t) -> DataFrame:
+    """The same candidates as by a scan of all texts, with the keyword hits of the word index."""
+    prepared = retrieve.prepare_queries(inputs.search_queries(t))
+    return retrieve.candidates(prepared, inputs.knowledge_base(t).drop("content").withColumn("content", F.lit(None).cast("string")),
+                               k=retrieve.CANDIDATES_WITHOUT_RANKER, found=_word_hits(t, prepared))
+
+
+def _found_by_cells(t) -> tuple[DataFrame, DataFrame]:
+    """Approximate candidates of every 50th vector, with visits chosen for a recall of 0.95, and the exact ones."""
+    prepared, kb = _vector_queries(t), inputs.knowledge_base(t)
+    index = vectorindex.build_index(kb, new_folder(t.spark, "vectors"))
+    probes = vectorindex.probes_for(prepared, kb, index, target=0.95)
+    return vectorindex.approximate_candidates(prepared, index, probes=probes), retrieve.candidates(prepared, kb)
+
+
+def _recall(t) -> DataFrame:
+    found, exact = _found_by_cells(t)
+    return vectorindex.recall(found, exact).agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("neighbours").alias("neighbours"),
+        (F.sum("found") >= 0.9 * F.sum("neighbours")).alias("recall_reached"))
+
+
+def _half_found(t) -> DataFrame:
+    prepared, kb = _vector_queries(t), inputs.knowledge_base(t)
+    found = halves.half_candidates(prepared, halves.half_base(kb), k=20)
+    return _plain(halves.rescored(found, prepared, kb)).select(
+        "query_id", "doc_type", "source_id", "vec_dist", "hybrid_rank", F.round("exact_dist", 6).alias("exact_dist"), "rank")
+
+
 def knowledge_queries() -> dict[str, Query]:
     return {
+        "approximate_candidates": bridge(lambda t: _plain(_found_by_cells(t)[0]).select(
+            "query_id", "doc_type", "source_id", "vec_dist", "hybrid_rank")),
+        "approximate_recall": bridge(_recall),
+        "half_candidates": bridge(_half_found),
+        "keyword_documents": bridge(lambda t: flat(_word_hits(t, retrieve.prepare_queries(inputs.search_queries(t))))),
+        "hybrid_candidates_by_words": bridge(lambda t: _plain(_found_by_words(t)).drop(
+            "name", "price", "category", "brand", "ann_candidates_count")),
         "product_documents": bridge(lambda t: _meta(documents.product_documents(t["products"]))),
         "faq_documents": bridge(lambda t: documents.faq_documents(inputs.faqs(t)).select(
             "source_id", "content", F.col("metadata.category").alias("category"))),

@@ -1,6 +1,9 @@
 """Session settings the operators are written for."""
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -33,3 +36,10 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     if not folder:
         raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
     return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one. Without the setting, a local session (one machine, as in tests) gets
+    a temporary folder of its own; on a cluster that is an error."""
+    local = spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.split("[")[0] == "local"
+    return f"{shared_folder(spark, tempfile.mkdtemp() if local else None).rstrip('/')}/{name}-{uuid.uuid4().hex}"
