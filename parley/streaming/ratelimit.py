@@ -12,7 +12,6 @@ no per-row work.
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -21,10 +20,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.functions.kernels import event_time
 from parley.functions.segments import Previous, TotalBefore, minute_segment, with_state
+from parley.streaming.ordered import in_order
 
 # The functions that run in tasks travel whole, so executors do not need this
 # package on their path.
@@ -115,38 +114,19 @@ def rate_limit_stream(requests: DataFrame, *, max_requests: int = MAX_REQUESTS,
 
     A request waits in the state of its session until the watermark has passed it,
     so one that comes late (within ``delay``) is decided where it belongs and the
-    result equals the batch form. The state holds the accepted times of a window and
-    the requests of one delay; it goes once nothing of it can matter any more.
+    result equals the batch form. A flooded session writes its new requests only;
+    besides those of one delay, the state holds the accepted times of a window, for
+    as long as they can matter.
     """
     window_us = window_seconds * 1_000_000
     requests = event_time(requests.select("session_id", "request_id", "timestamp"), delay)
     fields = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     out = ", ".join(f"{c} {fields[c]}" for c in ("session_id", "request_id", "timestamp")) + ", allowed boolean"
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted, times, ids = state.get if state.exists else ([], [], [])
-        waiting = list(zip(times, ids))
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                us = pdf["timestamp"].astype("datetime64[us]").astype("int64")
-                waiting += zip(us.tolist(), pdf["request_id"].tolist())
-        waiting.sort()
-        limiter, passed = _Limiter(max_requests, window_us, accepted), state.getCurrentWatermarkMs() * 1000
-        n = bisect_left(waiting, (passed,))
-        ready, waiting = waiting[:n], waiting[n:]
-        us = np.array([t for t, _ in ready], dtype=np.int64)
-        allowed = limiter.decide(us)
-        accepted = list(limiter.accepted)
-        if waiting or (accepted and accepted[-1] + window_us > passed):
-            state.update((accepted, [t for t, _ in waiting], [i for _, i in waiting]))
-            next_us = waiting[0][0] if waiting else accepted[-1] + window_us
-            state.setTimeoutTimestamp(max(next_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if ready:
-            yield pd.DataFrame({"session_id": key[0], "request_id": [i for _, i in ready],
-                                "timestamp": us.astype("datetime64[us]"), "allowed": allowed})
-
-    held = f"accepted array<bigint>, times array<bigint>, ids array<{fields['request_id']}>"
-    return (requests.groupBy("session_id")
-            .applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout))
+    def step(key, rows: pd.DataFrame, accepted) -> tuple[pd.DataFrame, list[int]]:
+        limiter = _Limiter(max_requests, window_us, accepted or ())
+        us = rows["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+        made = rows[["session_id", "request_id", "timestamp"]].assign(allowed=limiter.decide(us))
+        return made, list(limiter.accepted)
+
+    return in_order(requests, "session_id", "request_id", out, step, window_seconds * 1000)

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -88,9 +90,13 @@ def test_turns_arrive_once_and_land_by_day(spark, tmp_path):
     folder.mkdir()
     (folder / "a.json").write_text("\n".join(json.dumps(x) for x in turns[:12]))
     (folder / "b.json").write_text("\n".join(json.dumps(x) for x in turns[10:]))  # two deliveries repeat
+    for k in (1, 2):  # turns come out once later ones have moved the watermark past them
+        time.sleep(0.05)
+        later = turns[0] | {"session_id": "later", "message_id": f"l{k}", "timestamp": (t0 + timedelta(days=k)).isoformat()}
+        (folder / f"{'bcd'[k]}.json").write_text(json.dumps(later))
     rows = append.stream_turns(append.read_turns(spark, str(folder), files_per_trigger=1))
     append.write_fact(rows, str(tmp_path / "chat_logs"), str(tmp_path / "cp")).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "chat_logs"))
+    out = spark.read.parquet(str(tmp_path / "chat_logs")).where("session_id = 's'")
     assert out.count() == 20 and out.select("message_id").distinct().count() == 20
     assert sorted(str(r[0]) for r in out.select("date").distinct().collect()) == ["2024-01-01", "2024-01-02"]
     first = out.where("message_id = 'm0'").first()
@@ -133,10 +139,26 @@ def test_missing_windows_break_an_island(spark):
     assert alerts.sustained(alerts.align(metrics, 60, "mean"), policy).count() == 0
 
 
-def test_frustration_is_left_to_the_batch(spark, tables):
-    logs = enrich.enrich_turns(inputs.raw_turns(tables))
-    assert logs.where("frustration_signal").count() > 0
-    assert AS_OF == datetime(2024, 1, 31)
+def test_frustration_of_a_stream_equals_batch(spark, tables, tmp_path):
+    """Turns arrive shuffled by less than the delay; later turns of other sessions move the watermark past them."""
+    rng = random.Random(4)
+    logged = enrich.with_quality(enrich.with_route(enrich.with_history(enrich.with_optional(inputs.raw_turns(tables)))))
+    logged = logged.where(F.col("route") != enrich.ENDING).cache()
+    want = {r.message_id: (r.frustration_signal, r.frustration_reason) for r in enrich.with_frustration(logged).collect()}
+    assert sum(signal for signal, _ in want.values()) > 10 and len(want) == logged.count()
+    rows = sorted(logged.collect(), key=lambda r: r.timestamp + timedelta(seconds=rng.uniform(0, 300)))
+    end = max(r.timestamp for r in rows) + timedelta(days=1)
+    last = [rows[0].asDict() | {"session_id": "end", "message_id": f"end{k}", "timestamp": end + timedelta(days=k)} for k in range(3)]
+    chunks = [rows[k:k + 200] for k in range(0, len(rows), 200)] + [[tuple(r.values())] for r in last]
+    for chunk in chunks:
+        spark.createDataFrame(chunk, logged.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(logged.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = drain(append.with_stream_frustration(append.event_time(stream, "10 minutes")), "frustration", tmp_path)
+    rows = out.where("session_id <> 'end'").collect()
+    assert {r.message_id: (r.frustration_signal, r.frustration_reason) for r in rows} == want and len(rows) == len(want)
+    kept = {r.message_id: (r.timestamp, r.retrieved_sources, r.tokens_in, r.intent) for r in rows}
+    assert kept == {r.message_id: (r.timestamp, r.retrieved_sources, r.tokens_in, r.intent) for r in logged.collect()}
 
 
 def test_percentiles_of_fractions_keep_their_decimals(spark):
