@@ -6,13 +6,19 @@ period; "per second" rates divide by its length.
 """
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.kernels import Rank, event_time, ratio, rounded, summarise
+from parley.streaming.ordered import in_order
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The alert policies. Durations, alignments and auto-close in seconds.
 
@@ -131,6 +137,96 @@ def incidents(islands: DataFrame, auto_close: int) -> DataFrame:
         F.count(F.lit(1)).alias("islands"), F.max("peak").alias("peak")).drop("_n")
 
 
+def incident_windows(breaches: DataFrame, step: int, auto_close: int) -> DataFrame:
+    """Incidents of breaching windows (series, window_start, value) as session windows, on tables and streams.
+
+    A window joins an incident if it begins at most ``auto_close`` seconds after the last
+    breaching one ended; the incident closes that long after its last breach.
+    """
+    gap = f"{(step + auto_close) * 1_000_000 + 1} microseconds"  # a session ends before its gap is over
+    session = F.session_window("window_start", gap).alias("_s")
+    made = breaches.groupBy("series", session).agg(F.count(F.lit(1)).alias("windows"), rounded(F.max("value"), 6).alias("peak"))
+    closes = F.col("_s.end") - F.expr("INTERVAL 1 MICROSECOND")
+    return made.select("series", F.col("_s.start").alias("opened_at"), closes.alias("closes_at"), "windows", "peak")
+
+
+def sustained_windows(aligned: DataFrame, policy: Policy, *, threshold: float | None = None, step: int | None = None,
+                      duration: int | None = None) -> DataFrame:
+    """The breaching windows (series, window_start, value) of the islands that last ``duration``."""
+    step = step or policy.align
+    islands = sustained(aligned, policy, threshold=threshold, step=step, duration=duration).select(
+        F.col("series").alias("_series"), "started_at", "ended_at")
+    bad = breaching(aligned, policy, threshold)
+    inside = bad["series"].eqNullSafe(F.col("_series")) & (F.col("window_start") >= F.col("started_at")) & (F.col("window_start") < F.col("ended_at"))
+    return bad.join(islands, inside, "left_semi").select("series", "window_start", "value")
+
+
+# --- held conditions on a stream ---------------------------------------------------
+
+HELD = "series string, window_start timestamp, started_at timestamp, windows int, value double, state string"
+FIRING, OVER = "firing", "over"
+
+
+def aligned_stream(metrics: DataFrame, seconds: int, aligner: str) -> DataFrame:
+    """``align`` for a stream with a watermark; ``timestamp`` is the end of the window, with the watermark."""
+    value = (F.percentile_approx("value", int(aligner[1:]) / 100, 10000).cast("double") if aligner.startswith("p")
+             else _aligners(seconds)[aligner]())
+    out = metrics.groupBy("series", F.window("timestamp", f"{seconds} seconds").alias("window")).agg(value.alias("value"))
+    return out.select("series", F.window_time("window").alias("timestamp"), F.col("window.start").alias("window_start"), "value")
+
+
+def held(aligned: DataFrame, policy: Policy, *, threshold: float | None = None) -> DataFrame:
+    """Conditions that hold for their duration, on a stream of aligned windows.
+
+    The state of a series is its run of breaching windows: when it began, how many they
+    are, the last one. A window that doesn't breach, or one that is missing, ends the
+    run. Each breaching window from the one that completes the duration on goes out as
+    ``firing``, with the windows before it when it completes; ``over`` tells the end.
+    """
+    limit = policy.threshold if threshold is None else threshold
+    need, above = max(1, -(-policy.duration // policy.align)), policy.comparison == "gt"
+    step_us = policy.align * 1_000_000
+    names = [f.split()[0] for f in HELD.split(", ")]
+
+    def rows(key, made: list) -> pd.DataFrame:
+        out = pd.DataFrame([(key[0], *m) for m in made], columns=names)
+        for c in ("window_start", "started_at"):
+            out[c] = pd.to_datetime(out[c], unit="us")
+        return out
+
+    def step(key, windows: pd.DataFrame, carried) -> tuple[pd.DataFrame, tuple]:
+        # a run: when it began, the number of its windows, the last one, and the first ones until it fires
+        start, n, last, first = carried or (None, 0, None, [])
+        made = []
+        starts = windows["window_start"].astype("datetime64[us]").astype("int64").tolist()
+        for at, value in zip(starts, windows["value"].tolist()):
+            bad = value is not None and (value > limit if above else value < limit)
+            if n and (not bad or at != last + step_us):
+                if n >= need:
+                    made.append((last, start, n, None, OVER))
+                n, first = 0, []
+            if bad:
+                start, n, last = (start, n + 1, at) if n else (at, 1, at)
+                if n < need:
+                    first = [*first, (at, value)]
+                else:
+                    made += [(a, start, n, v, FIRING) for a, v in [*first, (at, value)]]
+                    first = []
+        return rows(key, made), (start, n, last, first)
+
+    def end(key, carried) -> pd.DataFrame:
+        start, n, last, _ = carried
+        return rows(key, [(last, start, n, None, OVER)] if n >= need else [])
+
+    return in_order(aligned, "series", "window_start", HELD, step, 2 * policy.align * 1000, end, "window_start")
+
+
+def held_incidents(aligned: DataFrame, policy: Policy, *, threshold: float | None = None) -> DataFrame:
+    """Incidents on a stream: session windows over the windows of held conditions."""
+    firing = held(aligned, policy, threshold=threshold).where(F.col("state") == FIRING)
+    return incident_windows(firing, policy.align, policy.auto_close)
+
+
 def with_lateness(metrics: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return event_time(metrics, delay)
 

@@ -33,10 +33,11 @@ def _ms(times: pd.Series) -> pd.Series:
 
 class InOrder(StatefulProcessor):
     """Calls ``step(key, rows, carried)`` for rows that are due, ordered by time and ``tie``; it gives what
-    goes out and what is carried on. Nothing is carried before the first rows: ``None``."""
+    goes out and what is carried on. Nothing is carried before the first rows: ``None``. Once a key has been
+    quiet for ``keep_ms``, ``end(key, carried)`` may give last rows before its value is dropped."""
 
-    def __init__(self, step: Step, tie: str, keep_ms: int):
-        self.step, self.tie, self.keep_ms = step, tie, keep_ms
+    def __init__(self, step: Step, tie: str, keep_ms: int, end: Callable[[tuple, object], pd.DataFrame] | None = None):
+        self.step, self.tie, self.keep_ms, self.end = step, tie, keep_ms, end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -71,11 +72,18 @@ class InOrder(StatefulProcessor):
                 yield out
         elif len(due) == len(keys) and last_ms is not None and last_ms + self.keep_ms <= passed:
             self.carried.clear()
+            if self.end is not None:
+                out = self.end(key, pickle.loads(value))
+                if len(out):
+                    yield out
 
     def close(self) -> None:
         pass
 
 
-def in_order(rows: DataFrame, key: str, tie: str, schema: str, step: Step, keep_ms: int) -> DataFrame:
-    """Applies ``step`` to a stream with a watermark on ``timestamp``."""
-    return rows.groupBy(key).transformWithStateInPandas(InOrder(step, tie, keep_ms), schema, "append", "EventTime")
+def in_order(rows: DataFrame, key: str, tie: str, schema: str, step: Step, keep_ms: int,
+             end: Callable[[tuple, object], pd.DataFrame] | None = None, time: str = "") -> DataFrame:
+    """Applies ``step`` to a stream with a watermark on ``timestamp``; ``time`` names the time of what goes out, for
+    operators that follow."""
+    return rows.groupBy(key).transformWithStateInPandas(InOrder(step, tie, keep_ms, end), schema, "append", "EventTime",
+                                                        eventTimeColumnName=time)

@@ -133,6 +133,61 @@ def test_incidents_close_after_quiet_time(spark, gap, count):
     assert got[-1].closes_at == T + timedelta(minutes=10 + gap + 30)
 
 
+def metrics_with_runs(spark, seed=5):
+    """Breaches in runs of many lengths, with windows that are missing, two series and values that are fine."""
+    rng, rows = random.Random(seed), []
+    for series in "ab":
+        m = 0
+        while m < 600:
+            for k in range(rng.choice([1, 3, 5, 5, 6, 9])):
+                rows.append((T + timedelta(minutes=m + k, seconds=rng.randrange(60)), series, 5.0 + rng.randrange(9)))
+            m += 9 + rng.choice([1, 20, 30, 31, 40])
+            rows.append((T + timedelta(minutes=m - 1), series, 0.0))
+        rows += [(T + timedelta(minutes=k), series, 0.0) for k in range(m, m + 200, 2)]
+    return rows, spark.createDataFrame(rows, "timestamp timestamp_ntz, series string, value double")
+
+
+POLICY = alerts.Policy("p", 60, "mean", 1, 300, 1800)
+
+
+def test_incidents_as_session_windows(spark):
+    _, metrics = metrics_with_runs(spark)
+    aligned = alerts.align(metrics, 60, "mean")
+    want = alerts.incidents(alerts.sustained(aligned, POLICY), 1800).select("series", "opened_at", "closes_at", "peak").collect()
+    got = alerts.incident_windows(alerts.sustained_windows(aligned, POLICY), 60, 1800).select("series", "opened_at", "closes_at", "peak").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 6
+
+
+def arriving(spark, rows, folder):
+    """The rows shuffled by less than the delay, in files, and later ones that move the watermark."""
+    rng, schema = random.Random(1), "timestamp timestamp_ntz, series string, value double"
+    rows = sorted(rows, key=lambda r: r[0] + timedelta(seconds=rng.uniform(0, 300)))
+    end = max(r[0] for r in rows) + timedelta(days=1)
+    for chunk in [*(rows[k:k + 300] for k in range(0, len(rows), 300)), *([(end + timedelta(days=k), "end", 0.0)] for k in range(5))]:
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    return alerts.aligned_stream(alerts.with_lateness(stream), 60, "mean")
+
+
+def test_held_conditions_of_a_stream_equal_batch(spark, tmp_path):
+    rows, metrics = metrics_with_runs(spark)
+    islands = alerts.sustained(alerts.align(metrics, 60, "mean"), POLICY).collect()
+    out = drain(alerts.held(arriving(spark, rows, tmp_path / "in"), POLICY), "held", tmp_path).collect()
+    over = sorted((r.series, r.started_at, r.window_start + timedelta(minutes=1), r.windows) for r in out if r.state == alerts.OVER)
+    assert over == sorted((r.series, r.started_at, r.ended_at, r.windows) for r in islands) and len(over) > 10
+    firing = sorted((r.series, r.window_start, r.value) for r in out if r.state == alerts.FIRING)
+    want = alerts.sustained_windows(alerts.align(metrics, 60, "mean"), POLICY).collect()
+    assert firing == sorted(map(tuple, want))
+
+
+def test_incidents_of_a_stream_equal_batch(spark, tmp_path):
+    rows, metrics = metrics_with_runs(spark)
+    want = alerts.incidents(alerts.sustained(alerts.align(metrics, 60, "mean"), POLICY), 1800).collect()
+    out = drain(alerts.held_incidents(arriving(spark, rows, tmp_path / "in"), POLICY), "incidents", tmp_path).collect()
+    assert sorted((r.series, r.opened_at, r.closes_at, r.peak) for r in out) == sorted((r.series, r.opened_at, r.closes_at, r.peak) for r in want)
+
+
 def test_missing_windows_break_an_island(spark):
     policy = alerts.Policy("p", 60, "mean", 1, 300)
     metrics = minutes(spark, set(range(10, 16))).where(F.col("timestamp") != F.lit(T + timedelta(minutes=12)).cast("timestamp_ntz"))
