@@ -284,6 +284,10 @@ put("latency_incidents", _mean_islands(P99, "> 6000", 1) + """, m AS (SELECT *,
  OVER (ORDER BY started_at) AS g FROM (SELECT *, lag(ended_at) OVER (ORDER BY started_at) AS prev FROM i))
  SELECT 'chat' AS series, min(started_at) AS opened_at, max(ended_at) + INTERVAL 2 HOUR AS closes_at, count(*) AS islands, max(peak) AS peak
  FROM m GROUP BY g""")
+put("latency_incident_windows", _mean_islands(P99, "> 6000", 1) + """, m AS (SELECT *, sum(CASE WHEN started_at - prev <= INTERVAL 2 HOUR THEN 0 ELSE 1 END)
+ OVER (ORDER BY started_at) AS g FROM (SELECT *, lag(ended_at) OVER (ORDER BY started_at) AS prev FROM i))
+ SELECT 'chat' AS series, min(started_at) AS opened_at, max(ended_at) + INTERVAL 2 HOUR AS closes_at, sum(windows)::BIGINT AS windows, max(peak) AS peak
+ FROM m GROUP BY g""")
 put("chart_request_rate", f"""SELECT {HOUR} AS window_start, CASE WHEN llm_error THEN '5xx' ELSE '2xx' END AS response_class,
  {r('count(*) / 3600', 6)} AS value FROM chat_logs GROUP BY 1, 2""")
 for _name, _inner, _outer in (("chart_latency_p95", "quantile_disc(latency_ms, 0.95)", "avg(v)"), ("chart_instances", "max(latency_ms)", "sum(v)")):

@@ -339,13 +339,13 @@ def _flood(t) -> DataFrame:
     return alerts.spikes(hits, alerts.POLICIES["request_flood"], threshold=0)
 
 
-def _sustained(metrics, policy: str, seconds: int, threshold: float, duration: int):
+def _sustained(metrics, policy: str, seconds: int, threshold: float, duration: int, how=alerts.sustained):
     """Aligned per series; where a policy combines its series, by their mean in each window."""
     p = alerts.POLICIES[policy]
     aligned = alerts.align(metrics, seconds, p.aligner)
     if p.reducer:
         aligned = alerts.reduce_series(aligned, p.reducer).withColumn("series", F.lit("chat"))
-    return alerts.sustained(aligned, p, threshold=threshold, step=seconds, duration=duration)
+    return how(aligned, p, threshold=threshold, step=seconds, duration=duration)
 
 
 def monitoring_queries() -> dict[str, Query]:
@@ -367,6 +367,8 @@ def monitoring_queries() -> dict[str, Query]:
         "uptime_alerts": bridge(lambda t: _sustained(inputs.error_metrics(t), "uptime", hour, 6, 2 * hour)),
         "latency_incidents": bridge(lambda t: alerts.incidents(_sustained(
             inputs.latency_metrics(t), "latency", hour, 6000, hour), 2 * hour)),
+        "latency_incident_windows": bridge(lambda t: alerts.incident_windows(_sustained(
+            inputs.latency_metrics(t), "latency", hour, 6000, hour, alerts.sustained_windows), hour, 2 * hour)),
         "chart_request_rate": bridge(lambda t: alerts.chart(
             inputs.latency_metrics(t).withColumn("value", F.lit(1)), "request_rate", seconds=hour, by="response_class")),
         "chart_latency_p95": bridge(lambda t: alerts.chart(inputs.latency_metrics(t), "latency_p95", seconds=hour)),
