@@ -7,7 +7,10 @@ numbers. From there on only these travel:
 1. Texts with the same set form one class with one representative.
 2. Classes that share a band are candidates. Their similarity is estimated by
    counting equal low bits, corrected for bits that are equal by chance; pairs far
-   below the limit go. The rest are confirmed on the full sets of both texts.
+   below the limit go. For sets of up to MAPPED shingles a map of 2048 bits marks
+   their hashes: a bit that only one of two sets has tells of a shingle that the
+   other lacks, so the maps bound the similarity from above, and pairs bound below
+   the limit go without any loss. The rest are confirmed on the full sets.
 3. A group of copies is never expanded into all pairs. In each round every bucket
    that still holds several components tests its members against one of them; what
    links joins its component. Once a round no longer halves the pairs between
@@ -45,6 +48,8 @@ REMEMBERED = 1 << 22            # hashes of sets that a task keeps at hand while
 NO_ID = -(2 ** 63)
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SIGNATURE = [f"s{k}" for k in range(PACKED)]
+MAPPED = 1024                   # shingles of a set that has a map at most
+MAP = [f"m{k}" for k in range(32)]  # 2048 bits
 
 
 class Hashes(dict):
@@ -97,27 +102,37 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(each << (np.arange(each.shape[1], dtype=np.uint64) * np.uint64(BITS)), 1).view(np.int64)
 
 
+def marked(values: np.ndarray) -> np.ndarray:
+    """The map of a set: a bit for the first 11 bits of each hash; empty for larger sets."""
+    bits = np.zeros(2048, np.uint8)
+    if len(values) <= MAPPED:
+        bits[(values >> np.uint64(53)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows with id, text key, n_shingles, digest of the set (d1, d2), bands and signature."""
+    """Rows with id, text key, n_shingles, digest of the set (d1, d2), bands, signature and map."""
     def work(batches):
         import xxhash
 
         known = Hashes()
         for b in slices(batches):
-            n, d1, d2, bands, signature = [], [], [], [], []
+            n, d1, d2, bands, signature, maps = [], [], [], [], [], []
             for text in b.column("_text").to_pylist():
                 values = shingles(text, words, known)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), np.int64)
                 low = minima(values) if len(values) else np.zeros(BANDS * ROWS, np.uint64)
                 n.append(len(values)), d1.append(int(digest[0])), d2.append(int(digest[1]))
                 bands.append(bands_of(low) if len(values) else None), signature.append(packed(low))
-            cells = np.array(signature, np.int64).reshape(-1, PACKED)
+                maps.append(marked(values))
+            cells, bits = np.array(signature, np.int64).reshape(-1, PACKED), np.array(maps, np.int64).reshape(-1, len(MAP))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), *(pa.array(cells[:, k]) for k in range(PACKED))],
-                names=["id", "text_key", "n_shingles", "d1", "d2", "bands", *SIGNATURE])
+                 pa.array(bands, pa.list_(pa.int64())), *(pa.array(cells[:, k]) for k in range(PACKED)),
+                 *(pa.array(bits[:, k]) for k in range(len(MAP)))],
+                names=["id", "text_key", "n_shingles", "d1", "d2", "bands", *SIGNATURE, *MAP])
 
-    cells = ", ".join(f"{s} bigint" for s in SIGNATURE)
+    cells = ", ".join(f"{s} bigint" for s in (*SIGNATURE, *MAP))
     return identified(docs).mapInArrow(
         work, f"id bigint, text_key bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, {cells}")
 
@@ -140,10 +155,24 @@ def estimate(a: str, b: str) -> Column:
     return (1 - unequal / (BANDS * ROWS) - chance) / (1 - chance) * 100
 
 
-def may_link(a: str, b: str, limit: int) -> Column:
-    """Whether the sizes of both sets and the estimate leave a link possible."""
+def most_common(a: str, b: str) -> Column:
+    """An upper bound for the shingles that two sets have in common, by their maps."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * limit) & (estimate(a, b) >= limit - MARGIN)
+
+    def lacking(x: str, y: str) -> Column:
+        total = F.lit(0)
+        for k in MAP:
+            total = total + F.bit_count(F.col(f"{x}.{k}").bitwiseAND(F.bitwise_not(f"{y}.{k}")))
+        return total
+
+    return F.when((n <= MAPPED) & (m <= MAPPED), F.least(n - lacking(a, b), m - lacking(b, a))).otherwise(F.least(n, m))
+
+
+def may_link(a: str, b: str, limit: int) -> Column:
+    """Whether the sizes of both sets, the estimate and the maps leave a link possible."""
+    n, m, common = F.col(f"{a}.n"), F.col(f"{b}.n"), most_common(a, b)
+    return ((F.least(n, m) * 100 >= F.greatest(n, m) * limit) & (estimate(a, b) >= limit - MARGIN)
+            & (common * 100 >= (n + m - common) * limit))
 
 
 def smallest_labels(links: DataFrame) -> DataFrame:
@@ -218,7 +247,7 @@ def linked(docs: DataFrame, classes: DataFrame, words: int, limit: int) -> DataF
     shared = ids.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = written(ids.join(shared, "band"))
     signatures = written(classes.join(members.select("node").distinct(), "node", "left_semi").select(
-        "node", "text_key", F.struct("n", *SIGNATURE).alias("s")))
+        "node", "text_key", F.struct("n", *SIGNATURE, *MAP).alias("s")))
     texts = written(texts_of(docs, signatures))
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     tested, labels, turn, before = links, None, 0, None
@@ -268,7 +297,7 @@ def grouped(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFram
     rows = written(sketched(docs, words))
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(
         F.min("id").alias("node"), F.min_by("text_key", "id").alias("text_key"), F.first("bands").alias("bands"),
-        F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SIGNATURE))
+        F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in (*SIGNATURE, *MAP)))
     classes = written(classes)
     labels = linked(docs, classes, words, limit)
     of_class = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))

@@ -112,6 +112,25 @@ def test_estimate_follows_similarity(spark):
     assert abs(got - 100 * len(x & y) / len(x | y)) < 12
 
 
+def test_maps_bound_what_sets_have_in_common(spark):
+    """The bound is never below the truth, and close to it for sets of a few hundred shingles."""
+    rng, rows, sets = random.Random(9), [], []
+    for k in range(40):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([2, 30, 150, 900, 2000]) if k % 2 else 150)]
+        rows.append((k, " ".join(words)))
+        sets.append({tuple(words[j:j + 2]) for j in range(len(words) - 1)})
+    s = neardup.sketched(spark.createDataFrame(rows, "doc_id bigint, text string")).select(
+        "id", F.struct(F.col("n_shingles").alias("n"), *neardup.SIGNATURE, *neardup.MAP).alias("s"))
+    a, b = (s.select(F.col("id").alias(f"id_{x}"), F.col("s").alias(x)) for x in "ab")
+    got = a.join(b, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", neardup.most_common("a", "b").alias("most")).collect()
+    assert len(got) == 780
+    for r in got:
+        x, y = sets[r.id_a], sets[r.id_b]
+        assert r.most >= len(x & y)
+        if len(x) == len(y) == 149:
+            assert r.most <= len(x & y) + 30
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)]
