@@ -45,6 +45,7 @@ LIMIT = 80                      # per cent
 MARGIN = 18                     # per cent: estimates this far below the limit are not confirmed
 FEW = 4                         # open pairs for a member of a bucket that are tested all at once
 REMEMBERED = 1 << 22            # hashes of sets that a task keeps at hand while it confirms pairs
+SIEVE = 1 << 26                 # bits of the map of wanted texts that is sent to the tasks, whatever their number
 NO_ID = -(2 ** 63)
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SIGNATURE = [f"s{k}" for k in range(PACKED)]
@@ -197,17 +198,38 @@ def smallest_labels(links: DataFrame) -> DataFrame:
     return labels
 
 
+def sieve_of(wanted: DataFrame) -> np.ndarray:
+    """SIEVE bits, of which each wanted (id, text_key) sets one: a text whose bit is not set isn't wanted."""
+    bits = wanted.select(F.pmod(F.xxhash64("id", "text_key"), F.lit(SIEVE)).alias("bit"))
+    cells = bits.groupBy(F.shiftright("bit", 5).alias("cell")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
+    made = np.zeros(SIEVE // 32, np.uint32)
+    made[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).astype(np.uint32)
+    return made
+
+
 def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Compressed texts of some classes, by the id and text key of their representatives."""
+    """Compressed texts of some classes, by the id and text key of their representatives.
+
+    Texts that can't be wanted are left where they are read: a map of bits, of one size
+    for any number of classes, tells most of them. What passes is compressed before it is
+    shuffled, and joined exactly.
+    """
+    wanted = classes.select(F.col("node").alias("id"), "text_key")
+    sent = docs.sparkSession.sparkContext.broadcast(sieve_of(wanted))
+
     def squeeze(batches):
+        cells = sent.value
         for b in slices(batches):
+            bit = b.column("bit").to_numpy()
+            b = b.filter(pa.array((cells[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
             data = [zlib.compress(t.encode(), 1) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(data, pa.binary())], names=["node", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array(data, pa.binary())],
+                                             names=["id", "text_key", "text"])
 
-    rows = identified(docs)
-    wanted = classes.select(F.col("node").alias("id"), "text_key")
-    found = rows.join(wanted, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
-    return found.select(F.col("id").alias("node"), "_text").mapInArrow(squeeze, "node bigint, text binary")
+    rows = identified(docs).withColumn("bit", F.pmod(F.xxhash64("id", "text_key"), F.lit(SIEVE)))
+    found = rows.mapInArrow(squeeze, "id bigint, text_key bigint, text binary").join(wanted, ["id", "text_key"], "left_semi")
+    return found.dropDuplicates(["id", "text_key"]).select(F.col("id").alias("node"), "text")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, limit: int) -> DataFrame:

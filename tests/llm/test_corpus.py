@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -283,3 +284,16 @@ def test_pipeline_stages_with_odd_rows(spark, docs, corpus, nothing):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert Counter(r.doc_id for r in last) == Counter(r[0] for r in corpus)
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last)
+
+
+def test_sieve_passes_every_wanted_text(docs):
+    rows = neardup.identified(docs)
+    wanted = rows.select("id", "text_key").distinct().where("id % 3 = 0")
+    bit = F.pmod(F.xxhash64("id", "text_key"), F.lit(neardup.SIEVE)).alias("bit")
+    cells = neardup.sieve_of(wanted)
+    inside = lambda df: [int(cells[r.bit >> 5]) >> (r.bit & 31) & 1 for r in df.select(bit).collect()]
+    assert min(inside(wanted)) == 1 and sum(inside(rows.where("id % 3 <> 0"))) == 0
+    classes = wanted.withColumnRenamed("id", "node")
+    got = {r.node: zlib.decompress(r.text).decode() for r in neardup.texts_of(docs, classes).collect()}
+    assert got == {r.id: r["_text"] for r in rows.where("id % 3 = 0").collect()}
+    assert not neardup.sieve_of(wanted.limit(0)).any()
