@@ -333,6 +333,8 @@ _FLAGS = {"errors": "llm_error", "unanswered": "is_unanswered", "scope_rejection
 put("rollup_totals", f"""SELECT count(*) AS requests, {', '.join(f'{cnt(c)} AS {n}' for n, c in _FLAGS.items())},
  {', '.join(f'{pct(c)} AS {n}_rate_pct' for n, c in _FLAGS.items())}, CAST(floor(sum(coalesce(ttft_ms, 0)) / count(*) + 0.5) AS BIGINT)
  AS avg_ttft_ms, {r('sum(coalesce(estimated_cost_usd, 0))', 4)} AS total_cost_usd FROM chat_logs""")
+put("rollup_days", f"""SELECT CAST(timestamp AS DATE) AS date, count(*) AS requests, {', '.join(f'{cnt(c)} AS {n}' for n, c in _FLAGS.items())},
+ true AS sessions_within, true AS p95_within FROM chat_logs GROUP BY 1""")
 put("rollup_period", f"SELECT *, true AS sessions_within, true AS p50_within, true AS p95_within FROM ({SQL['rollup_totals']})")
 
 

@@ -15,7 +15,7 @@ from parley.plans.registry import ALL, NAMED, VARIANTS
 from parley.session import new_folder
 from parley.sources import inputs, tables
 from parley.sources.bridge import AS_OF, bridge
-from parley.streaming import alerts, ratelimit, rollups
+from parley.streaming import alerts, maintained, ratelimit, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPANS = {"days": 30, "hours": 48, "weeks": 8}
@@ -389,6 +389,7 @@ def monitoring_queries() -> dict[str, Query]:
         "rolling_categories": bridge(lambda t: alerts.rolling_categories(t["chat_logs"])),
         "rollup_totals": bridge(lambda t: rollups.period_from_rollup(rollups.daily_rollup(t["chat_logs"])).drop(
             "approx_sessions", "approx_p50_latency_ms", "approx_p95_latency_ms")),
+        "rollup_days": bridge(lambda t: maintained.checked_days(t["chat_logs"])),
         "rollup_period": bridge(lambda t: rollups.checked_period(t["chat_logs"])),
     }
 

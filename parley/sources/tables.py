@@ -68,11 +68,15 @@ def feedback_rows(votes: DataFrame, chat_logs: DataFrame) -> Checked:
     # a message id is logged once; the aggregate guards the join against repeats
     turns = chat_logs.groupBy("message_id").agg(F.min("turn_number").alias("turn_number"),
                                                 F.min("detected_category").alias("detected_category"))
-    own = votes.drop("turn_number", "detected_category")
-    texts = {c: F.coalesce(F.col(c), F.lit("")) if c in own.columns else F.lit("")
+    rows = votes.drop("turn_number", "detected_category").join(turns, "message_id", "left")
+    return checked_votes(rows)
+
+
+def checked_votes(votes: DataFrame) -> Checked:
+    """Votes of 1 or -1; missing texts are stored as empty strings."""
+    texts = {c: F.coalesce(F.col(c), F.lit("")) if c in votes.columns else F.lit("")
              for c in ("user_message", "assistant_response")}
-    rows = conform(own.withColumns(texts).join(turns, "message_id", "left"), schemas.FEEDBACK)
-    return _split(rows, F.col("rating").isin(1, -1), schemas.FEEDBACK)
+    return _split(conform(votes.withColumns(texts), schemas.FEEDBACK), F.col("rating").isin(1, -1), schemas.FEEDBACK)
 
 
 def event_rows(events: DataFrame) -> Checked:

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from parley.functions.kernels import HUNDRED, day, event_time, ratio, rounded
 
-_COUNTS = {"errors": "llm_error", "unanswered": "is_unanswered", "scope_rejections": "scope_rejected",
+COUNTS = {"errors": "llm_error", "unanswered": "is_unanswered", "scope_rejections": "scope_rejected",
            "vulgar_blocks": "vulgar_flag", "injection_blocks": "prompt_injection_flag",
            "frustrated": "frustration_signal", "rec_gaps": "rec_gap"}
 
 
-def _rollup_columns():
+def rollup_columns():
     return [F.count(F.lit(1)).alias("requests"),
-            *[F.count_if(F.col(c)).alias(n) for n, c in _COUNTS.items()],
+            *[F.count_if(F.col(c)).alias(n) for n, c in COUNTS.items()],
             F.sum(F.coalesce("ttft_ms", F.lit(0))).alias("ttft_sum"),
             F.sum(F.coalesce("estimated_cost_usd", F.lit(0.0))).alias("cost_sum"),
             F.hll_sketch_agg("session_id").alias("sessions_sketch"),
@@ -26,21 +26,21 @@ def _rollup_columns():
 
 
 def daily_rollup(chat_logs: DataFrame) -> DataFrame:
-    return chat_logs.groupBy(day().alias("date")).agg(*_rollup_columns())
+    return chat_logs.groupBy(day().alias("date")).agg(*rollup_columns())
 
 
 def daily_rollup_stream(chat_logs: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The same on a stream: a day is emitted once the watermark has passed it."""
     daily = event_time(chat_logs, delay).groupBy(F.window("timestamp", "1 day").alias("_w"))
-    return daily.agg(*_rollup_columns()).withColumn("date", F.to_date("_w.start")).drop("_w")
+    return daily.agg(*rollup_columns()).withColumn("date", F.to_date("_w.start")).drop("_w")
 
 
 def period_from_rollup(rollup: DataFrame) -> DataFrame:
     """One summary row over all days of ``rollup``."""
     n = F.sum("requests")
-    rates = [rounded(ratio(F.sum(c) * F.lit(HUNDRED), n), 2).alias(f"{c}_rate_pct") for c in _COUNTS]
+    rates = [rounded(ratio(F.sum(c) * F.lit(HUNDRED), n), 2).alias(f"{c}_rate_pct") for c in COUNTS]
     merged = rollup.agg(
-        n.alias("requests"), *[F.sum(c).alias(c) for c in _COUNTS], *rates,
+        n.alias("requests"), *[F.sum(c).alias(c) for c in COUNTS], *rates,
         F.round(ratio(F.sum("ttft_sum"), n)).cast("bigint").alias("avg_ttft_ms"),
         rounded(F.sum("cost_sum"), 4).alias("total_cost_usd"),
         F.hll_sketch_estimate(F.hll_union_agg("sessions_sketch")).alias("approx_sessions"),
