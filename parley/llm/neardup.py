@@ -173,7 +173,7 @@ def may_link(a: str, b: str, limit: int) -> Column:
     """Whether the sizes of both sets, the estimate and the maps leave a link possible."""
     n, m, common = F.col(f"{a}.n"), F.col(f"{b}.n"), most_common(a, b)
     return ((F.least(n, m) * 100 >= F.greatest(n, m) * limit) & (estimate(a, b) >= limit - MARGIN)
-            & (common * 100 >= (n + m - common) * limit))
+            & (common * (100 + limit) >= (n + m) * limit))  # named once, so counted once for a pair
 
 
 def smallest_labels(links: DataFrame) -> DataFrame:
