@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.sources import tables as sources
-from parley.streaming import alerts, live, maintained, rollups, votes
+from parley.streaming import alerts, append, live, maintained, rollups, votes
 
 T = datetime(2024, 1, 1)
 
@@ -109,3 +109,24 @@ def test_maintained_rollup_of_a_stream(spark, logs, tmp_path):
     got = maintained.rollup_days(spark, str(tmp_path / "days"), block=2)
     want = rollups.daily_rollup(part(logs, 0, 1, 2))
     assert rows(got.select("date", "requests", "errors")) == rows(want.select("date", "requests", "errors"))
+
+
+def test_events_and_reviews_arrive_as_streams(spark, tmp_path):
+    """The row rules are the same on a stream; accepted rows land by day, rejected ones are kept."""
+    kinds = {"events": "event_type string, session_id string, timestamp timestamp_ntz, message_id string, product_id string, product_name string",
+             "reviews": "session_id string, timestamp timestamp_ntz, stars int"}
+    batches = {"events": [[("click", "s", T, "m", None, None), (None, "s", T, "m", "1", "x")], [("click", "r", T + timedelta(days=1), None, "2", "y")]],
+               "reviews": [[("s", T, 5), ("s", T, 0)], [("r", T + timedelta(days=1), 1), ("r", T, None)]]}
+    rules = {"events": sources.event_rows, "reviews": sources.review_rows}
+    for name, rule in rules.items():
+        folder = str(tmp_path / name)
+        for chunk in batches[name]:
+            spark.createDataFrame(chunk, kinds[name]).coalesce(1).write.mode("append").parquet(folder)
+        made = rule(spark.readStream.schema(kinds[name]).option("maxFilesPerTrigger", 1).parquet(folder))
+        want = rule(spark.read.parquet(folder))
+        for part_name in ("accepted", "rejected"):
+            out = str(tmp_path / f"{name}-{part_name}")
+            append.write_fact(getattr(made, part_name), out, out + "-cp").awaitTermination()
+            got = spark.read.parquet(out)
+            assert rows(got.drop("date")) == rows(getattr(want, part_name)), (name, part_name)
+            assert got.where("date <> to_date(timestamp)").isEmpty()
