@@ -33,6 +33,7 @@ put("agent_devops_daily", _devops(True, WIDE))
 put("agent_devops_summary", _devops(False, WIDE))
 put("get_devops_latency_percentiles", f"SELECT {DATE}, " + ", ".join(
     f"{pc('latency_ms', p / 100)} AS p{p}_ms" for p in (25, 50, 75, 95, 99)) + f" {BY_DAY}")
+put("sketched_latency_percentiles", f"SELECT {DATE}, " + ", ".join(f"true AS p{p}_ms_within" for p in (25, 50, 75, 95, 99)) + f" {BY_DAY}")
 put("get_devops_ttft_trend", f"SELECT {DATE}, {ia0('ttft_ms')} AS avg_ttft_ms,"
     f" {pc('coalesce(ttft_ms,0)', 0.95)} AS p95_ttft_ms, {ia0('llm_ms')} AS avg_llm_ms {BY_DAY}")
 ERR = "coalesce(llm_error_type,'unknown')"
@@ -249,6 +250,7 @@ def _dominant(col: str, out: str) -> str:
 put("get_business_outcome_by_intent", f"""SELECT coalesce(d.di,'unknown') AS intent, o.outcome, count(*) AS sessions
  FROM {_dominant('intent', 'di')} d JOIN outcomes_view o ON o.session_id = d.session_id
  WHERE {win(30, 'o.session_end_at')} GROUP BY coalesce(d.di,'unknown'), o.outcome""")
+put("sketched_outcome_by_intent", RAW["get_business_outcome_by_intent"])
 put("get_business_satisfaction_by_category", f"""SELECT coalesce(d.c,'Unknown') AS category, count(DISTINCT v.session_id) AS reviews,
  {r('avg(v.stars)', 2)} AS avg_stars FROM {_dominant('detected_category', 'c')} d JOIN session_reviews v
  ON v.session_id = d.session_id GROUP BY coalesce(d.c,'Unknown') HAVING count(DISTINCT v.session_id) >= 3""")
@@ -279,6 +281,7 @@ put("overview", f"""SELECT count(*) AS total_messages, {SESS} AS unique_sessions
 put("top_questions", f"SELECT user_message, count(*) AS frequency, avg(sources_count) AS avg_rag_sources {W}"
     " GROUP BY user_message ORDER BY frequency DESC, user_message LIMIT 20")
 put("daily_volume", f"SELECT {DATE}, count(*) AS messages, {SESS} AS sessions {BY_DAY}")
+put("sketched_daily_volume", f"SELECT {DATE}, count(*) AS messages, true AS sessions_within {BY_DAY}")
 put("rag_performance", f"SELECT sources_count, count(*) AS message_count, {share()} AS percentage {W} GROUP BY sources_count")
 put("top_products_mentioned", f"""WITH u AS (SELECT unnest(json_extract(sources_used, '$[*]')) AS src {W} AND sources_used IS NOT NULL)
  SELECT json_extract_string(src, '$.name') AS product_name, json_extract_string(src, '$.price') AS price, count(*) AS mentions

@@ -1,6 +1,9 @@
 """Shared building blocks of the report operators."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -127,6 +130,54 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(positive("limit", n))
 
 
+# --- sketches as an option ----------------------------------------------------
+
+@dataclass(frozen=True)
+class Sketches:
+    """Sizes of the sketches that stand in for exact ranks and distinct counts."""
+    hll_bits: int = 14    # distinct values: a standard error of 0.8 %
+    kll_k: int = 400      # ranks: within 1 % of the rank asked for
+    tracked: int = 1000   # most frequent values: exact for up to this many per key
+    tied: int = 16        # values that are compared when the largest counts are equal
+
+
+_SKETCHES: ContextVar[Sketches | None] = ContextVar("sketches", default=None)
+
+
+@contextmanager
+def sketched(sizes: Sketches = Sketches()) -> Iterator[None]:
+    """Plans made inside the block read their rows once, with mergeable sketches in
+    place of exact ranks, distinct counts and dominant values."""
+    token = _SKETCHES.set(sizes)
+    try:
+        yield
+    finally:
+        _SKETCHES.reset(token)
+
+
+def _rank_from_sketch(r: Rank, sizes: Sketches) -> Column:
+    """The percentile of ``r`` from a KLL sketch; NULL where no row has a value.
+    Several ranks of one value share one sketch, as equal aggregates are computed once."""
+    value = holds(r.value).cast("double") if r.places is None else rounded(holds(r.value), r.places)
+    found = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(value, sizes.kll_k), F.lit(r.pct / 100))
+    found = F.when(F.count(value) > 0, found)
+    return found if r.places is not None else F.round(found).cast("bigint")
+
+
+def _sketched_summary(src: DataFrame, keys: list[str], metrics: dict[str, object], sizes: Sketches) -> DataFrame:
+    """Every metric in one aggregation."""
+    made = []
+    for name, m in metrics.items():
+        if isinstance(m, Distinct):
+            sketch = F.hll_sketch_agg(F.col(m.column).cast("string"), F.lit(sizes.hll_bits))
+            made.append(F.hll_sketch_estimate(sketch).alias(name))
+        elif isinstance(m, Rank):
+            made.append(_rank_from_sketch(m, sizes).alias(name))
+        elif isinstance(m, Column):
+            made.append(m.alias(name))
+    return src.groupBy(*keys).agg(*made)
+
+
 # --- one pass summaries with exact ranks --------------------------------------
 
 @dataclass(frozen=True)
@@ -192,7 +243,8 @@ def summarise(df: DataFrame, by: dict[str, Column], metrics: dict[str, object])
 
     Plain and distinct metrics share one aggregation. Rank metrics are computed
     from value counts and merged by union and a tiny second aggregation, which
-    keeps the single row of an ungrouped report on empty input.
+    keeps the single row of an ungrouped report on empty input. Inside a
+    ``sketched`` block there is one aggregation for all metrics.
     """
     keys = [f"_k_{name}" for name in by]
     src = df.withColumns(dict(zip(keys, by.values()))) if by else df
@@ -204,7 +256,10 @@ def summarise(df: DataFrame, by: dict[str, Column], metrics: dict[str, object])
             plain.append(F.count_distinct(F.col(metric.column)).alias(name))
         elif isinstance(metric, Column):
             plain.append(metric.alias(name))
-    if not ranks:
+    sizes = _SKETCHES.get()
+    if sizes is not None:
+        out = _sketched_summary(src, keys, metrics, sizes)
+    elif not ranks:
         out = src.groupBy(*keys).agg(*plain)
     elif not plain:
         out = _ranks(src, keys, ranks)
@@ -223,7 +278,14 @@ def summarise(df: DataFrame, by: dict[str, Column], metrics: dict[str, object])
 
 def dominant(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Most frequent value per key; NULL is a value; ties go to the smaller
-    value, NULL last. Both steps combine before they shuffle."""
+    value, NULL last. Both steps combine before they shuffle. Inside a
+    ``sketched`` block one sketch per key counts the values."""
+    sizes = _SKETCHES.get()
+    if sizes is not None:
+        top = df.groupBy(key).agg(F.expr(f"approx_top_k(`{value}`, {sizes.tied}, {sizes.tracked})").alias("_top"))
+        order = F.array_sort(F.transform("_top", lambda x: F.struct(
+            (-x["count"]).alias("o"), x["item"].isNull().alias("z"), x["item"].alias("v"))))
+        return top.select(key, order[0]["v"].alias(out))
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     best = F.min(F.struct((-F.col("_n")).alias("o"), F.col(value).isNull().alias("z"),
                           F.col(value).alias("v")))

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions.kernels import day, since
 from parley.functions.segments import block_segment
 from parley.operators import detectors as d
-from parley.operators import catalog, documents, enrich, halves, orders, retrieve, sessions, status, vectorindex, wordindex
+from parley.operators import catalog, documents, enrich, halves, orders, retrieve, sessions, sketches, status, vectorindex, wordindex
 from parley.plans import bundles
 from parley.plans.registry import ALL, NAMED, VARIANTS
 from parley.session import new_folder
@@ -19,6 +20,9 @@ from parley.streaming import alerts, maintained, ratelimit, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPANS = {"days": 30, "hours": 48, "weeks": 8}
+# Reports that read the turn number; all others are made without it.
+BY_TURN = {"get_devops_session_activity", "get_devops_cold_start_proxy", "get_business_session_length_dist",
+           "get_business_engagement_score", "tech_summary"}
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -31,13 +35,36 @@ def flat(df: DataFrame) -> DataFrame:
 def _report(name: str) -> Query:
     op = ALL[name]
     params = {p: v for p, v in SPANS.items() if p in op.parameters}
-    return bridge(lambda t: flat(op(t, as_of=AS_OF, **params)))
+    return bridge(lambda t: flat(op(t, as_of=AS_OF, **params)), turn_numbers=name in BY_TURN)
 
 
 def reports() -> dict[str, Query]:
     return {name: _report(name) for name in (*NAMED, *VARIANTS)}
 
 
+def _sketched_percentiles(t) -> DataFrame:
+    """Whether each daily latency percentile made with sketches is within 1 % of its rank."""
+    found = ALL["get_devops_latency_percentiles"](t, as_of=AS_OF, days=30, approximate=True)
+    logs = since(t["chat_logs"], AS_OF, days=30).withColumn("date", day())
+    return sketches.ranks_within(logs, found, "date", "latency_ms", {f"p{p}_ms": p for p in (25, 50, 75, 95, 99)})
+
+
+def _sketched_volume(t) -> DataFrame:
+    """Daily volume with its sessions counted by sketches, against the exact ones."""
+    report = ALL["daily_volume"]
+    found, exact = (report(t, as_of=AS_OF, days=30, approximate=a) for a in (True, False))
+    return sketches.numbers_within(found, exact, "date", {"sessions": 0.04})
+
+
+def sketched_queries() -> dict[str, Query]:
+    return {
+        "sketched_latency_percentiles": bridge(_sketched_percentiles, turn_numbers=False),
+        "sketched_daily_volume": bridge(_sketched_volume, turn_numbers=False),
+        "sketched_outcome_by_intent": bridge(lambda t: ALL["get_business_outcome_by_intent"](
+            t, as_of=AS_OF, days=30, approximate=True), turn_numbers=False),
+    }
+
+
 def _first_session(t) -> DataFrame:
     """Detail of the first session by name (its id is looked up, one row)."""
     first = t["chat_logs"].select(F.min("session_id")).scalar()
@@ -57,16 +84,16 @@ def _weekly(t) -> DataFrame:
 
 def session_queries() -> dict[str, Query]:
     return {
-        "session_outcomes": bridge(sessions.session_outcomes),
-        "session_outcomes_dedup": bridge(lambda t: sessions.session_outcomes(t, dedup=True)),
+        "session_outcomes": bridge(sessions.session_outcomes, turn_numbers=False),
+        "session_outcomes_dedup": bridge(lambda t: sessions.session_outcomes(t, dedup=True), turn_numbers=False),
         "session_detail": bridge(_first_session),
         "dashboard_status": bridge(lambda t: status.dashboard_status(t, as_of=AS_OF)),
-        "report_status": bridge(lambda t: status.report_status(t, as_of=AS_OF)),
-        "distance_trend": bridge(lambda t: status.distance_trend(t, as_of=AS_OF)),
-        "conversion_trend": bridge(lambda t: status.conversion_trend(t, as_of=AS_OF)),
-        "biz_conversion_mean": bridge(lambda t: status.mean_conversion(t, as_of=AS_OF)),
-        "intent_display_names": bridge(lambda t: status.named_intents(t, as_of=AS_OF)),
-        "weekly_run": bridge(_weekly),
+        "report_status": bridge(lambda t: status.report_status(t, as_of=AS_OF), turn_numbers=False),
+        "distance_trend": bridge(lambda t: status.distance_trend(t, as_of=AS_OF), turn_numbers=False),
+        "conversion_trend": bridge(lambda t: status.conversion_trend(t, as_of=AS_OF), turn_numbers=False),
+        "biz_conversion_mean": bridge(lambda t: status.mean_conversion(t, as_of=AS_OF), turn_numbers=False),
+        "intent_display_names": bridge(lambda t: status.named_intents(t, as_of=AS_OF), turn_numbers=False),
+        "weekly_run": bridge(_weekly, turn_numbers=False),
     }
 
 
@@ -385,12 +412,12 @@ def monitoring_queries() -> dict[str, Query]:
             inputs.latency_metrics(t).withColumn("value", F.col("value") / 20000), "database_memory", seconds=hour)
             .withColumn("value", F.round("value", 6))),
         "rolling_summary": bridge(lambda t: alerts.rolling_summary(t["chat_logs"])),
-        "rolling_errors": bridge(lambda t: alerts.rolling_errors(t["chat_logs"])),
-        "rolling_categories": bridge(lambda t: alerts.rolling_categories(t["chat_logs"])),
+        "rolling_errors": bridge(lambda t: alerts.rolling_errors(t["chat_logs"]), turn_numbers=False),
+        "rolling_categories": bridge(lambda t: alerts.rolling_categories(t["chat_logs"]), turn_numbers=False),
         "rollup_totals": bridge(lambda t: rollups.period_from_rollup(rollups.daily_rollup(t["chat_logs"])).drop(
-            "approx_sessions", "approx_p50_latency_ms", "approx_p95_latency_ms")),
-        "rollup_days": bridge(lambda t: maintained.checked_days(t["chat_logs"])),
-        "rollup_period": bridge(lambda t: rollups.checked_period(t["chat_logs"])),
+            "approx_sessions", "approx_p50_latency_ms", "approx_p95_latency_ms"), turn_numbers=False),
+        "rollup_days": bridge(lambda t: maintained.checked_days(t["chat_logs"]), turn_numbers=False),
+        "rollup_period": bridge(lambda t: rollups.checked_period(t["chat_logs"]), turn_numbers=False),
     }
 
 
@@ -405,6 +432,6 @@ def _numbers(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    every = {**reports(), **session_queries(), **enrichment_queries(), **knowledge_queries(), **commerce_queries(),
+    every = {**reports(), **sketched_queries(), **session_queries(), **enrichment_queries(), **knowledge_queries(), **commerce_queries(),
              **source_queries(), **monitoring_queries()}
     return {name: _numbers(query) for name, query in every.items()}

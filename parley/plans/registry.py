@@ -1,7 +1,8 @@
 """Named reports: name -> operator with typed parameters.
 
 ``run("get_devops_daily", tables, as_of=..., days=7)`` is the whole interface;
-parameters are checked before any plan is built.
+parameters are checked before any plan is built. ``approximate=True`` makes any
+report with sketches, in one pass over its rows.
 """
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from parley.functions.kernels import Sketches, sketched
 from parley.operators import builders, business, devops, sessions, tech
 
 PARAMETER_TYPES = {"as_of": datetime, "days": int, "hours": int, "weeks": int, "limit": int, "session_id": str,
@@ -33,7 +35,7 @@ class Operator:
         return [n for n, p in inspect.signature(self.fn).parameters.items()
                 if p.kind is p.KEYWORD_ONLY and p.default is p.empty]
 
-    def __call__(self, tables: Mapping[str, DataFrame], **params) -> DataFrame:
+    def __call__(self, tables: Mapping[str, DataFrame], *, approximate: bool | Sketches = False, **params) -> DataFrame:
         allowed = self.parameters
         for key, value in params.items():
             if key not in allowed:
@@ -44,6 +46,9 @@ class Operator:
         missing = [p for p in self.required if p not in params]
         if missing:
             raise TypeError(f"{self.name} needs {missing}")
+        if approximate:
+            with sketched(approximate if isinstance(approximate, Sketches) else Sketches()):
+                return self.fn(tables, **params)
         return self.fn(tables, **params)
 
 

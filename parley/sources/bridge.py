@@ -2,7 +2,8 @@
 expect: chat_logs, chat_events, feedback, session_reviews, products and so on.
 
 Row-wise shaping is SQL text; the turn number needs the order of a session and
-goes through the segmented state helper.
+goes through the segmented state helper. Its join can't be pruned, so queries
+that read no turn number leave it out.
 """
 from __future__ import annotations
 
@@ -19,10 +20,11 @@ AS_OF = datetime(2024, 1, 31)
 
 
 class Bridge(Mapping):
-    """Lazy mapping of table name to DataFrame over one data folder."""
+    """Lazy mapping of table name to DataFrame over one data folder; ``turn_numbers``
+    says whether chat_logs has turn numbers."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, turn_numbers: bool = True):
+        self.spark, self.folder, self.turn_numbers = spark, folder, turn_numbers
         self._made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -49,14 +51,16 @@ class Bridge(Mapping):
 
     def _chat_logs(self) -> DataFrame:
         plain = self.spark.sql(sql.CHAT_LOGS, chat_turns_raw=self["chat_turns_raw"])
+        if not self.turn_numbers:
+            return plain.drop("event_id")
         numbered = with_state(plain, "session_id", ["timestamp", "event_id"], minute_segment(),
                               {"_before": TotalBefore(F.lit(1))})
         turn = (F.col("_before") + 1).cast("bigint")
         return numbered.withColumn("turn_number", turn).drop("_before", "event_id")
 
 
-def bridge(make: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def bridge(make: Callable[..., DataFrame], *, turn_numbers: bool = True) -> Callable[[SparkSession, str], DataFrame]:
     """Turns ``make(tables)`` into the ``(spark, folder)`` form of the driver."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return make(Bridge(spark, folder))
+        return make(Bridge(spark, folder, turn_numbers))
     return run
