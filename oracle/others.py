@@ -358,3 +358,7 @@ for _name in ("hybrid_candidates", "hybrid_candidates_by_words"):
     _retyped(_name, "INTEGER", "hybrid_rank")
 for _name in ("reranked", "retrieval_results"):
     _retyped(_name, "INTEGER", "rank")
+# the same rows, out of tables that rewrite only what a change touches
+for _name, _same in (("upsert_documents_in_buckets", "upsert_documents"), ("product_changes_in_buckets", "apply_product_changes"),
+                     ("order_statuses_in_buckets", "order_status_updates")):
+    SQL[_name] = SQL[_same]

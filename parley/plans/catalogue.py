@@ -15,6 +15,7 @@ from parley.plans import bundles
 from parley.plans.registry import ALL, NAMED, VARIANTS
 from parley.session import new_folder
 from parley.sources import inputs, tables
+from parley.sources.buckets import BucketedTable
 from parley.sources.bridge import AS_OF, bridge
 from parley.streaming import alerts, maintained, ratelimit, rollups
 
@@ -177,6 +178,31 @@ def _upserted(t) -> DataFrame:
     return documents.upsert_documents(inputs.stored_documents(t), inputs.incoming_documents(t), "version", now=now)
 
 
+def _changed_in_buckets(t, stored: DataFrame, incoming: DataFrame, keys: list[str], merge) -> DataFrame:
+    """``stored`` as a table of buckets, after a change that rewrites the buckets it touches."""
+    table = BucketedTable(t.spark, new_folder(t.spark, "buckets"), keys, stored.schema)
+    table.create(stored, 32)
+    table.change(incoming, merge)
+    return table.read()
+
+
+def _upserted_in_buckets(t) -> DataFrame:
+    now = F.expr("timestamp_ntz '2024-01-31 00:00:00'")
+    return _changed_in_buckets(t, inputs.stored_documents(t), inputs.incoming_documents(t), ["doc_type", "source_id"],
+                               lambda old, new: documents.upsert_documents(old, new, "version", now=now))
+
+
+def _products_in_buckets(t) -> DataFrame:
+    return _changed_in_buckets(t, t["products"].select("id", "sku", "price"), inputs.change_feed(t), ["id"],
+                               lambda old, new: catalog.apply_changes(old, new, *inputs.REVIEW_ORDER))
+
+
+def _statuses_in_buckets(t) -> DataFrame:
+    updates = inputs.status_updates(t).withColumnRenamed("order_id", "id")
+    return _changed_in_buckets(t, inputs.stored_orders(t), updates, ["id"], lambda old, new: orders.apply_statuses(
+        old, new.withColumnRenamed("id", "order_id"), "l_shipdate", "l_linenumber"))
+
+
 def _new_products(t) -> DataFrame:
     """Products whose documents aren't stored; stored are those under twice the number of a sold part."""
     docs = documents.product_documents(t["products"])
@@ -240,6 +266,7 @@ def knowledge_queries() -> dict[str, Query]:
         "review_summaries": bridge(lambda t: _meta(documents.review_summaries(
             t["products"], inputs.raw_reviews(t), *inputs.REVIEW_ORDER, "body"))),
         "upsert_documents": bridge(_upserted),
+        "upsert_documents_in_buckets": bridge(_upserted_in_buckets),
         "not_yet_ingested": bridge(_new_products),
         "load_reviews": bridge(_loaded),
         "metadata_filter": bridge(lambda t: retrieve.metadata_filter(
@@ -305,6 +332,7 @@ def commerce_queries() -> dict[str, Query]:
         "products_by_id": bridge(lambda t: catalog.products_by_id(t["products"], _orders_by_id(t)).select("id", "sku")),
         "missing_product_ids": bridge(lambda t: catalog.missing_ids(t["products"], _orders_by_id(t))),
         "apply_product_changes": bridge(_changed),
+        "product_changes_in_buckets": bridge(_products_in_buckets),
         "product_bulk_load": bridge(_bulk_load),
         "product_image_fill": bridge(_with_images),
         "featured_products": bridge(lambda t: catalog.featured_products(t["products"])),
@@ -319,6 +347,7 @@ def commerce_queries() -> dict[str, Query]:
         "newest_orders": bridge(lambda t: orders.newest_orders(inputs.stored_orders(t), 5)),
         "order_status_updates": bridge(lambda t: orders.apply_statuses(
             inputs.stored_orders(t), inputs.status_updates(t), "l_shipdate", "l_linenumber")),
+        "order_statuses_in_buckets": bridge(_statuses_in_buckets),
         "rejected_status_updates": bridge(lambda t: orders.rejected_statuses(inputs.status_updates(t))),
         "cart_contents": bridge(lambda t: orders.merge_carts(inputs.cart_log(t))),
         "cart_totals": bridge(lambda t: orders.cart_totals(orders.merge_carts(inputs.cart_log(t)))),
