@@ -219,6 +219,8 @@ def _by_broadcast(rows: list, docs: DataFrame, k: int) -> DataFrame:
 def _by_blocks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     n_queries, n_docs = queries.count(), docs.count()
     qb, db = -(-n_queries // QUERY_BLOCK), max(1, -(-n_docs // DOC_BLOCK))
+    # columns of its own: queries out of the knowledge base would share them with the other side
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     left = (queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
                    .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(db - 1)))))
     right = (docs.withColumn("_d", F.pmod(F.xxhash64("doc_type", "source_id"), F.lit(db)).cast("int"))

@@ -29,6 +29,16 @@ def test_blocks_equal_broadcast(prepared, kb, monkeypatch):
         retrieve.candidates(prepared, kb, k=7, max_broadcast=3))
 
 
+def test_blocks_of_queries_out_of_the_knowledge_base(spark):
+    rows = [("faq", f"{k}", f"text {k}", (f"n{k}", 1.0, None, "b"), [float(k % 7 + 1), float(k % 5), 1.0]) for k in range(60)]
+    base = spark.createDataFrame(rows, "doc_type string, source_id string, content string, "
+                                       "metadata struct<name:string,price:double,category:string,brand:string>, embedding array<float>")
+    asked = base.where("source_id % 10 = 0").select(F.col("source_id").alias("query_id"), F.lit("").alias("query_text"), "embedding")
+    asked = retrieve.prepare_queries(asked)
+    blocks = as_rows(retrieve.candidates(asked, base, k=5, max_broadcast=3))
+    assert blocks == as_rows(retrieve.candidates(asked, base, k=5)) and len(blocks) == 30
+
+
 def test_topk_of_parts_merges_to_topk_of_whole(prepared, kb):
     whole = as_rows(retrieve.candidates(prepared, kb, k=5))
     left = kb.where(F.hash("source_id") % 2 == 0)
