@@ -9,6 +9,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from parley.operators import halves, retrieve, vectorindex, wordindex
+from parley.plans import catalogue
 from parley.sources import inputs
 
 KEY = ["query_id", "doc_type", "source_id", "hybrid_rank", "vec_dist", "keyword_bonus"]
@@ -86,6 +87,14 @@ def test_few_cells_are_read_and_reach_the_recall(spark, kb, prepared, index):
     assert re.search(r"PartitionFilters: \[[^]]*cell", scan) and "content" not in scan
 
 
+def test_recall_of_more_queries_than_are_broadcast(spark, tables, monkeypatch):
+    few = retrieve.bounded_rows
+    monkeypatch.setattr(retrieve, "bounded_rows", lambda prepared, most=0: few(prepared, 0))  # all query sets go by blocks
+    made = catalogue.queries()["approximate_recall"](spark, tables.folder).collect()
+    rows, asked = tables["embeddings"].count(), tables["embeddings"].where("vec_id % 50 = 0").count()
+    assert [tuple(r) for r in made] == [(asked, asked * min(50, rows), True)]
+
+
 def test_index_of_nothing_and_of_one_row(spark, kb, tmp_path):
     with pytest.raises(ValueError):
         vectorindex.build_index(kb.limit(0), str(tmp_path / "a"))
