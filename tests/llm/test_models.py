@@ -162,6 +162,22 @@ def test_ctw_equals_recursion(spark, monkeypatch):
     assert np.allclose(ctw.text_scores(tree, data), [score(t) for t in data], rtol=1e-4)
 
 
+def test_ctw_tells_rare_contexts_apart(spark, monkeypatch):
+    """However large the share of a context has to be for the bounded tree, the scores are those of the whole one."""
+    monkeypatch.setattr(ctw, "SHARE", 0.1)
+    texts = ["abcabcabd abc", "the theme then", "", None, "aaaa", "bcbcbcé", "the abc", "unseen \U0001F600 abc"] * 2
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    train = [(t or "").encode() for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1]
+    score = plain_ctw(train, 0, ctw.DEPTH)
+    got = {r.doc_id: r.score for r in ctw.scored(df).collect()}
+    assert len(got) == len(texts)
+    assert np.allclose([got[k] for k in range(len(texts))], [score((t or "").encode()) for t in texts], rtol=1e-5)
+    one = df.where("doc_id = 0")  # a task without texts that are held out, or with no others
+    assert len(ctw.scored(one).collect()) == 1 and not len(ctw.codes([]))
+    coarse = {r.doc_id: r.score for r in ctw.scored(df, bounded=True).collect()}
+    assert any(abs(coarse[k] - got[k]) > 0.1 for k in got)
+
+
 def test_ctw_base_score(docs, corpus, nothing):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     tokens = lambda t: [w.decode() for w in lower(t).encode().split()] + [("end",)]
