@@ -194,8 +194,16 @@ def candidates(prepared: DataFrame, kb: DataFrame, *, k: int = CANDIDATES, max_b
 
 
 def _candidates(prepared: DataFrame, kb: DataFrame, k: int, rows: list | None, hits: DataFrame | None = None) -> DataFrame:
-    docs = _doc_columns(kb) if hits is None else _doc_columns(kb).drop("low").join(hits, ["doc_type", "source_id"], "left")
-    found = _by_blocks(_query_rows(prepared), docs, k) if rows is None else _by_broadcast(rows, docs, k)
+    asked, docs = _query_rows(prepared), _doc_columns(kb)
+    if rows is None:
+        n_queries, worded = asked.agg(F.count(F.lit(1)), F.count_if(F.size("keywords") > 0)).first()
+    else:
+        worded = any(r.keywords for r in rows)
+    if hits is not None:
+        docs = docs.drop("low").join(hits, ["doc_type", "source_id"], "left")
+    elif not worded:  # no text can hold a keyword, so none is read
+        docs = docs.drop("low").withColumn("found", F.array().cast("array<string>"))
+    found = _by_blocks(asked, docs, k, n_queries) if rows is None else _by_broadcast(rows, docs, k)
     query = Window.partitionBy("query_id")
     ranked = found.withColumn("hybrid_rank", F.row_number().over(query.orderBy(*_ORDER))).where(F.col("hybrid_rank") <= k)
     return ranked.withColumn("ann_candidates_count", F.count(F.lit(1)).over(query))
@@ -216,9 +224,8 @@ def _by_broadcast(rows: list, docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInPandas(best, _OUT)
 
 
-def _by_blocks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    n_queries, n_docs = queries.count(), docs.count()
-    qb, db = -(-n_queries // QUERY_BLOCK), max(1, -(-n_docs // DOC_BLOCK))
+def _by_blocks(queries: DataFrame, docs: DataFrame, k: int, n_queries: int) -> DataFrame:
+    qb, db = -(-n_queries // QUERY_BLOCK), max(1, -(-docs.count() // DOC_BLOCK))
     # columns of its own: queries out of the knowledge base would share them with the other side
     queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     left = (queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
@@ -228,7 +235,7 @@ def _by_blocks(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def best(q: pd.DataFrame, docs_: pd.DataFrame) -> pd.DataFrame:
         if q.empty or docs_.empty:
-            return _best(_Block.of([], [], [], [], []), docs_, k)
+            return _NONE
         block = _Block.of(q["query_id"], q["embedding"], q["detected_category"],
                           q["price_filter_value"], q["keywords"])
         return _best(block, docs_.drop(columns=["_d", "_q"]), k)

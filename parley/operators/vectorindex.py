@@ -33,6 +33,7 @@ SAMPLE_ROWS = 1 << 18       # vectors that the centres are fitted on, about
 SAMPLE_QUERIES = 256        # queries that the number of visits is fitted on
 MOST_CELLS = 1 << 14        # so a task holds at most so many centres
 CENTRE_BYTES = 64 << 20     # and so many bytes of them
+FILE_BYTES = 64 << 20       # vectors of a cell that one task writes, about; a crowded cell has several files
 ROUNDS = 10
 _KEY = ["doc_type", "source_id"]
 
@@ -88,6 +89,17 @@ def _fitted(sample: DataFrame, centres: np.ndarray, rounds: int) -> np.ndarray:
     return centres
 
 
+def _by_files(dealt: DataFrame, sample: DataFrame, centres: np.ndarray, n: int, most: int) -> DataFrame:
+    """Rows of a cell in one task, those of a cell with more than ``most`` of the ``n`` rows, by the sample, in several."""
+    seen = sample.select(_cell(centres)("embedding").alias("cell")).groupBy("cell").count().collect()  # a row for each cell
+    each = n / max(1, sum(r["count"] for r in seen))
+    crowded = [(r.cell, -(-int(r["count"] * each) // most)) for r in seen if r["count"] * each > most]
+    if not crowded:
+        return dealt.repartition("cell")
+    files = F.broadcast(dealt.sparkSession.createDataFrame(crowded, "cell int, files int"))
+    return dealt.join(files, "cell", "left").repartition("cell", F.pmod(F.xxhash64(*_KEY), F.coalesce("files", F.lit(1)))).drop("files")
+
+
 def build_index(kb: DataFrame, folder: str, *, cells: int | None = None, rounds: int = ROUNDS) -> VectorIndex:
     """Writes the index of a knowledge base; rows without a vector are left out. About sqrt(rows) cells by default."""
     spark, rows = kb.sparkSession, retrieve._doc_columns(kb).drop("low").where("embedding is not null")
@@ -102,8 +114,7 @@ def build_index(kb: DataFrame, folder: str, *, cells: int | None = None, rounds:
     sample = spark.read.parquet(f"{folder}/sample")
     first = sample.orderBy("place", *_KEY).limit(cells).collect()
     centres = _fitted(sample, retrieve._unit(np.array([r.embedding for r in first], np.float64)), rounds)
-    # a crowded cell is written by several tasks
-    dealt = rows.withColumn("cell", _cell(centres)("embedding")).repartition("cell", F.pmod(F.xxhash64(*_KEY), F.lit(16)))
+    dealt = _by_files(rows.withColumn("cell", _cell(centres)("embedding")), sample, centres, n, max(1, FILE_BYTES // (4 * dim)))
     dealt.sortWithinPartitions("cell").write.partitionBy("cell").parquet(f"{folder}/vectors")
     sizes = np.zeros(len(centres), np.int64)
     for r in spark.read.parquet(f"{folder}/vectors").groupBy("cell").count().collect():

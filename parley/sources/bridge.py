@@ -17,6 +17,8 @@ from parley.functions.segments import TotalBefore, minute_segment, with_state
 from parley.sources import bridge_sql as sql
 
 AS_OF = datetime(2024, 1, 31)
+# What the join of a view can meet of an input: remainders of 100, of either sign.
+MET = {("kb", "products"): "id between -99 and 99"}
 
 
 class Bridge(Mapping):
@@ -47,7 +49,7 @@ class Bridge(Mapping):
         if name not in sql.VIEWS:
             return self.raw(name)
         inputs, text = sql.VIEWS[name]
-        return self.spark.sql(text, **{i: self[i] for i in inputs})
+        return self.spark.sql(text, **{i: self[i].where(MET.get((name, i), "true")) for i in inputs})
 
     def _chat_logs(self) -> DataFrame:
         plain = self.spark.sql(sql.CHAT_LOGS, chat_turns_raw=self["chat_turns_raw"])

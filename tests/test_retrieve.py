@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import retrieve
 from parley.sources import inputs
+from parley.sources.bridge import Bridge
 
 KEY = ["query_id", "doc_type", "source_id", "hybrid_rank", "vec_dist", "keyword_bonus"]
 
@@ -39,6 +42,41 @@ def test_blocks_of_queries_out_of_the_knowledge_base(spark):
     assert blocks == as_rows(retrieve.candidates(asked, base, k=5)) and len(blocks) == 30
 
 
+def test_blocks_without_documents(prepared, kb, monkeypatch):
+    monkeypatch.setattr(retrieve, "DOC_BLOCK", 1)  # as many blocks as documents: some have none
+    few = kb.where("source_id in ('d1', 'd2', 'd3', 'd6', 'd7', 'd8', 'd11', 'd12')")
+    assert as_rows(retrieve.candidates(prepared, few, k=7, max_broadcast=3)) == as_rows(retrieve.candidates(prepared, few, k=7))
+
+
+@pytest.mark.parametrize("max_broadcast", [3, 2048])
+def test_queries_without_keywords_read_no_text(spark, prepared, kb, max_broadcast):
+    plain = prepared.withColumn("keywords", F.array().cast("array<string>"))
+    found = retrieve.candidates(plain, kb, k=7, max_broadcast=max_broadcast)
+    text = re.compile(r"lower\((text|content)#")
+    assert not text.search(found._jdf.queryExecution().optimizedPlan().toString())
+    none = spark.createDataFrame([], "doc_type string, source_id string, found array<string>")
+    assert as_rows(found) == as_rows(retrieve.candidates(plain, kb, k=7, found=none))
+    one = retrieve.prepare_queries(prepared.limit(1).select(F.lit("q").alias("query_id"), F.lit("drill").alias("query_text"), "embedding"))
+    some = retrieve.candidates(plain.unionByName(one), kb, k=7, max_broadcast=max_broadcast)  # one keyword: texts are read
+    assert text.search(some._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_knowledge_base_meets_few_products(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(v, [1.0], 0) for v in (-201, -7, 0, 7, 199, 250, None)], "vec_id bigint, embedding array<float>, label int") \
+        .write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(7, "text")], "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    parts = [(k, f"n{k}", "b", "t", 1, 2.0) for k in (-150, -99, -7, -1, 0, 7, 7, 50, 99, 100, 150, 250, None)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double") \
+        .write.parquet(f"{folder}/part.parquet")
+    base = Bridge(spark, folder)["kb"]
+    rows = sorted((str(r.vec_id), r.name or "", r.content or "") for r in base.collect())
+    assert rows == sorted([("-201", "n-1", ""), ("-7", "n-7", ""), ("0", "n0", ""), ("7", "n7", "text"), ("7", "n7", "text"),
+                           ("199", "n99", ""), ("250", "n50", ""), ("None", "", "")])
+    plan = base._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" in plan and "<= 99" in plan and ">= -99" in plan
+
+
 def test_topk_of_parts_merges_to_topk_of_whole(prepared, kb):
     whole = as_rows(retrieve.candidates(prepared, kb, k=5))
     left = kb.where(F.hash("source_id") % 2 == 0)

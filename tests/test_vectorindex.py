@@ -71,6 +71,21 @@ def test_every_row_is_in_one_cell(spark, kb, index):
     assert np.allclose(again.centres, index.centres) and again.sizes.tolist() == index.sizes.tolist()
 
 
+def test_a_cell_is_one_file_unless_crowded(spark, kb, prepared, index, tmp_path, monkeypatch):
+    def files(built):
+        return [len([f for f in os.listdir(f"{built.folder}/vectors/{c}") if f.endswith(".parquet")])
+                for c in os.listdir(f"{built.folder}/vectors") if c.startswith("cell=")]
+
+    assert set(files(index)) == {1}
+    monkeypatch.setattr(vectorindex, "FILE_BYTES", 4 * 16 * 100)  # at most 100 vectors a file, about
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else few rows go to one task
+    split = vectorindex.build_index(kb, str(tmp_path / "v"), cells=20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(files(split)) > 1 and split.sizes.sum() == 899
+    assert as_rows(vectorindex.approximate_candidates(prepared, split, probes=20, k=9)) == as_rows(
+        vectorindex.approximate_candidates(prepared, index, probes=20, k=9))
+
+
 def test_few_cells_are_read_and_reach_the_recall(spark, kb, prepared, index):
     plain = prepared.withColumn("detected_category", F.lit(None).cast("string")).withColumn("price_filter_value", F.lit(None).cast("double")) \
         .withColumn("keywords", F.array().cast("array<string>"))
